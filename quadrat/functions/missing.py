@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"  # fixed value: decimal number
+
 
 def _column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -136,12 +138,11 @@ def level_label(x: Column | str, levels: Sequence[str]) -> Column:
 def to_number(text: Column | str) -> Column:
     """Number from text; anything that is not a number is missing.
 
-    Spark's cast also reads ``NaN`` and Java's ``1d`` / ``1f``; neither is a
-    value in survey data.
+    The pattern is tested first because a failing cast costs an exception per
+    row, and because the cast also reads ``NaN`` and Java's ``1d`` / ``1f``.
     """
     text = _column(text)
-    number = text.try_cast("double")
-    return F.when(~F.isnan(number) & ~F.rtrim(text).rlike("[0-9.][dDfF]$"), number)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def number_text(x: Column | str) -> Column:

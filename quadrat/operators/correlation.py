@@ -49,59 +49,90 @@ def _cells(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _score(cells: DataFrame, by: list[str], bits: int, y_block: int) -> DataFrame:
+def _score(cells: DataFrame, by: list[str], bits: int, y_size: int, y_block: int) -> DataFrame:
     """Concordant minus discordant pairs per group, without forming pairs.
 
     Two x codes differ first at one bit: above it they share a prefix, at it the
     smaller has 0 and the larger 1.  So for each bit and prefix it is enough to
     know, for each y, how many 0-cells lie below and above it.  A cell appears
-    once per bit.  The running counts are cut into blocks of ``y_block`` y codes,
-    so no window holds more than one block of one prefix.
+    once per bit.  With more than ``y_block`` y codes the running counts are cut
+    into blocks, so no window holds more than one block of one prefix.
     """
+    strand = [*by, "bit", "prefix"]
     levels = (
         cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
         .withColumn("prefix", F.expr("shiftright(xc, bit + 1)"))
         .withColumn("high", F.expr("shiftright(xc, bit) & 1"))
-        .groupBy(*by, "bit", "prefix", "yc")
+        .groupBy(*strand, "yc")
         .agg(
             F.sum(F.when(F.col("high") == 0, F.col("w")).otherwise(0)).alias("zeros"),
             F.sum(F.when(F.col("high") == 1, F.col("w")).otherwise(0)).alias("ones"),
         )
-        .withColumn("block", F.floor(F.col("yc") / y_block))
-    )
-    strand = [*by, "bit", "prefix"]
-    blocks = levels.groupBy(*strand, "block").agg(F.sum("zeros").alias("block_zeros"))
-    in_order = W.partitionBy(*strand).orderBy("block")
-    offsets = blocks.select(
-        *strand,
-        "block",
-        F.coalesce(
-            F.sum("block_zeros").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("earlier"),
-        F.sum("block_zeros").over(W.partitionBy(*strand)).alias("all_zeros"),
     )
-    within = W.partitionBy(*strand, "block").orderBy("yc").rowsBetween(W.unboundedPreceding, -1)
-    counted = levels.withColumn("local", F.coalesce(F.sum("zeros").over(within), F.lit(0))).join(
-        offsets, [*strand, "block"]
-    )
-    below = F.col("earlier") + F.col("local")
-    above = F.col("all_zeros") - below - F.col("zeros")
-    score = F.col("ones").cast("decimal(38,0)") * (below - above)
+
+    def sum_before(x: str, order: W) -> Column:
+        return F.coalesce(F.sum(x).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    if y_size <= y_block:
+        whole = W.partitionBy(*strand)
+        counted = levels.withColumns(
+            {
+                "below": sum_before("zeros", whole.orderBy("yc")),
+                "all_zeros": F.sum("zeros").over(whole),
+            }
+        )
+    else:
+        levels = levels.withColumn("block", F.floor(F.col("yc") / y_block))
+        blocks = levels.groupBy(*strand, "block").agg(F.sum("zeros").alias("block_zeros"))
+        offsets = blocks.select(
+            *strand,
+            "block",
+            sum_before("block_zeros", W.partitionBy(*strand).orderBy("block")).alias("earlier"),
+            F.sum("block_zeros").over(W.partitionBy(*strand)).alias("all_zeros"),
+        )
+        local = sum_before("zeros", W.partitionBy(*strand, "block").orderBy("yc"))
+        counted = (
+            levels.withColumn("local", local)
+            .join(offsets, [*strand, "block"])
+            .withColumn("below", F.col("earlier") + F.col("local"))
+        )
+    above = F.col("all_zeros") - F.col("below") - F.col("zeros")
+    score = F.col("ones").cast("decimal(38,0)") * (F.col("below") - above)
     return counted.groupBy(*by).agg(F.sum(score).cast("double").alias("s"))
 
 
-def _ties(cells: DataFrame, by: list[str], value: str, prefix: str) -> DataFrame:
-    """Tie sums of one variable."""
+def _ties(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Rows n and the tie sums of both variables, in one pass over the margins."""
     t = F.col("t").cast("double")
-    return (
-        cells.groupBy(*by, value)
-        .agg(F.sum("w").alias("t"))
-        .groupBy(*by)
-        .agg(
-            F.sum(t * (t - 1)).alias(f"{prefix}_pairs"),
-            F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{prefix}_var"),
-            F.sum(t * (t - 1) * (t - 2)).alias(f"{prefix}_triples"),
+    margins = (
+        cells.select(
+            *by,
+            "w",
+            F.inline(
+                F.array(
+                    F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
+                    F.struct(F.lit("y").alias("side"), F.col("y").alias("value")),
+                )
+            ),
         )
+        .groupBy(*by, "side", "value")
+        .agg(F.sum("w").alias("t"))
+    )
+
+    def total(side: str, x: Column) -> Column:
+        return F.sum(F.when(F.col("side") == side, x))
+
+    return margins.groupBy(*by).agg(
+        total("x", F.col("t")).alias("n"),
+        *[
+            total(side, x).alias(f"{side}_{name}")
+            for side in ("x", "y")
+            for name, x in (
+                ("pairs", t * (t - 1)),
+                ("var", t * (t - 1) * (2 * t + 5)),
+                ("triples", t * (t - 1) * (t - 2)),
+            )
+        ],
     )
 
 
@@ -117,14 +148,10 @@ def kendall(
     keys = by or ["__all"]
     source = df if by else df.withColumn("__all", F.lit(1))
     cells = materialise(_cells(source, x, y, keys), "cells")
-    coded, size = order_codes(cells, "x", "xc")
-    coded, _ = order_codes(coded, "y", "yc")
-    s = _score(coded, keys, max(1, (max(size, 1) - 1).bit_length()), y_block)
-    n_rows = cells.groupBy(*keys).agg(F.sum("w").alias("n"))
-    sums = (
-        n_rows.join(s, keys).join(_ties(cells, keys, "x", "x"), keys)
-        .join(_ties(cells, keys, "y", "y"), keys)
-    )
+    coded, x_size = order_codes(cells, "x", "xc")
+    coded, y_size = order_codes(coded, "y", "yc")
+    bits = max(1, (max(x_size, 1) - 1).bit_length())
+    sums = _ties(cells, keys).join(_score(coded, keys, bits, y_size, y_block), keys)
     n = F.col("n").cast("double")
     pairs = n * (n - 1)
     variance = (

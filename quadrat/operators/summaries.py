@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import missing as m
+from quadrat.operators.reshape import lengthen
 
 
 def mean_se(
@@ -36,6 +37,22 @@ def mean_se(
     return summary.withColumn(se, m.standard_error(sd, count))
 
 
+def trait_counts(
+    df: DataFrame, keys: Sequence[str], traits: dict[str, str], blank: str
+) -> DataFrame:
+    """Distinct values per group of several text columns; ``traits`` maps column to result.
+
+    The blank code is not counted, missing counts as one value.  The columns are
+    stacked and duplicates removed before the shuffle, so a hot group sends each
+    distinct value once per task; counting what is left needs no distinct.
+    """
+    stacked = lengthen(df, keys, list(traits), "trait", "value").distinct()
+    seen = F.col("value").isNull() | (F.col("value") != blank)
+    return stacked.groupBy(*keys).agg(
+        *[F.count_if((F.col("trait") == c) & seen).alias(name) for c, name in traits.items()]
+    )
+
+
 def error_bounds(df: DataFrame, mean: str, se: str, lower: str, upper: str) -> DataFrame:
     """Ends of the error bar around a mean."""
     return df.withColumns({lower: F.col(mean) - F.col(se), upper: F.col(mean) + F.col(se)})

@@ -12,7 +12,7 @@ from quadrat.functions import missing as m
 from quadrat.operators.diversity import community_structure
 from quadrat.operators.joins import attach, outer_zero_fill, right_zero_fill
 from quadrat.operators.reshape import lengthen
-from quadrat.operators.summaries import split_share
+from quadrat.operators.summaries import split_share, trait_counts
 
 # Codes of the field protocol.
 EXTRA_HOUSES = ("387_11_4",)
@@ -53,26 +53,36 @@ def sampled(floral: DataFrame, exclude: Sequence[str] = EXTRA_HOUSES) -> DataFra
 def clean_rows(floral: DataFrame, exclude: Sequence[str] = EXTRA_HOUSES) -> DataFrame:
     """One row per plant observation with derived sizes, counts and areas."""
     rows = sampled(floral, exclude)
-    plants, water = F.col("flower_plants"), F.col("water_man")
-    size = _number(rows, "flower_width_cm") * _number(rows, "flower_length_cm")
-    flowers = _number(rows, "flower_stems") * F.col("ave_flower_perstem")
-    counted = m.choose(water == NOT_APPLICABLE, F.lit(None).cast("double"), plants)
-    counted_text = m.choose(
-        water == NOT_APPLICABLE, F.lit(NOT_APPLICABLE), m.number_text(plants)
+    parsed = rows.withColumns(
+        {
+            "num_plants": F.col("flower_plants"),
+            "width": _number(rows, "flower_width_cm"),
+            "length": _number(rows, "flower_length_cm"),
+            "stems": _number(rows, "flower_stems"),
+            "native_bin": _number(rows, "native_man"),
+            "water_need": _number(rows, "water_man"),
+        }
     )
-    water_need, native = _number(rows, "water_man"), _number(rows, "native_man")
-    return rows.withColumns(
+    uncounted = F.col("water_man") == NOT_APPLICABLE
+    derived = parsed.withColumns(
+        {
+            "flower_size": F.col("width") * F.col("length"),
+            "num_flowers": F.col("stems") * F.col("ave_flower_perstem"),
+            "native_plants": F.col("native_bin") * F.col("num_plants"),
+            "num_plants_water": m.choose(
+                uncounted, F.lit(NOT_APPLICABLE), m.number_text("num_plants")
+            ),
+            "num_plants_water2": m.choose(
+                uncounted, F.lit(None).cast("double"), F.col("num_plants")
+            ),
+        }
+    )
+    area = F.col("flower_size") * F.col("num_flowers") / SQUARE_CM_PER_SQUARE_M
+    return derived.withColumns(
         {
-            "num_plants": plants,
-            "flower_size": size,
-            "num_flowers": flowers,
-            "total_flower_area": size * flowers / SQUARE_CM_PER_SQUARE_M,
-            "num_plants_water": counted_text,
-            "num_plants_water2": counted,
-            "native_bin": native,
-            "native_plants": native * plants,
-            "water_man": water_need,
-            "water_wghtd": water_need * counted,
+            "total_flower_area": area,
+            "water_man": F.col("water_need"),
+            "water_wghtd": F.col("water_need") * F.col("num_plants_water2"),
         }
     ).select(*CLEAN_COLUMNS)
 
@@ -165,12 +175,17 @@ def with_traits(rows: DataFrame) -> DataFrame:
 
 def house_traits(rows: DataFrame) -> DataFrame:
     """Distinct traits per house."""
-    return with_traits(rows).groupBy("nb", "block", "house_id").agg(
-        m.distinct_traits("inflor").alias("inflo_num"),
-        m.distinct_traits("colors").alias("color_num"),
-        m.distinct_traits("symm").alias("sym_num"),
-        m.distinct_traits("sing_doub").alias("sd_num"),
-        m.distinct_traits("genera").alias("genera_num"),
+    return trait_counts(
+        with_traits(rows),
+        ["nb", "block", "house_id"],
+        {
+            "inflor": "inflo_num",
+            "colors": "color_num",
+            "symm": "sym_num",
+            "sing_doub": "sd_num",
+            "genera": "genera_num",
+        },
+        BLANK,
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrat.plans import floral as floral_plans
 from quadrat.plans import lawn as lawn_plans
+from quadrat.session import spread
 from quadrat.sources.study import Study, income_in_thousands
 
 # Colour codes by position; the last three exercise special cases.
@@ -33,14 +34,15 @@ def floral(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, t) for t in ("lineitem", "orders", "customer", "part")
     )
     rows = (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        spread(lineitem, "l_orderkey", "l_linenumber")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .withColumns(
             {
                 "empty": F.expr("l_quantity = 50"),
-                "disc": F.expr("CAST(round(l_discount * 100) AS INT)"),
-                "tax": F.expr("CAST(round(l_tax * 100) AS INT)"),
+                "disc": F.expr("CAST(l_discount * 100 + 0.5 AS INT)"),
+                "tax": F.expr("CAST(l_tax * 100 + 0.5 AS INT)"),
                 "palette": F.expr(_colors()),
             }
         )
@@ -82,7 +84,8 @@ SPECIES = "concat_ws('-', o_orderstatus, o_orderpriority, CAST(year(o_orderdate)
 def lawn(spark: SparkSession, folder: str) -> DataFrame:
     """Raw lawn plots: one species row per order."""
     orders, customer = (table(spark, folder, t) for t in ("orders", "customer"))
-    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumns(
+    plots = spread(orders, "o_orderkey")
+    rows = plots.join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumns(
         {
             "price": F.expr("CAST(floor(o_totalprice) AS BIGINT)"),
             "skipped": F.expr("o_orderstatus = 'P' AND o_orderpriority = '5-LOW'"),
