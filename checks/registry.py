@@ -70,7 +70,8 @@ class Data:
 
     @property
     def direct(self) -> DataFrame:
-        return star.direct_house(self.study)
+        shared = self.prepared
+        return star.direct_house(self.study.survey_parcel, shared.rows, shared.cover)
 
     def community(self, which: str) -> inference.Community:
         return _once(
@@ -189,7 +190,7 @@ SUMMARIES: dict[str, Callable[[Data], DataFrame]] = {
         "m_genera",
         ["comparison"],
     ),
-    "kendall": lambda d: inference.preference_correlations(materialise(d.direct, "direct-house")),
+    "kendall": lambda d: inference.preference_correlations(d.direct),
 }
 
 # ---------------------------------------------------------------- models

@@ -63,7 +63,8 @@ class Prepared:
 
 
 def prepare(study: Study) -> Prepared:
-    rows = materialise(floral.clean_rows(study.floral), "clean-rows")
+    unused = ("num_plants_water", "photo_id", "notes")
+    rows = materialise(floral.clean_rows(study.floral).drop(*unused), "clean-rows")
     return Prepared(
         study=study,
         rows=rows,

@@ -185,13 +185,14 @@ def nb_info(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def direct_house(study: Study) -> DataFrame:
-    """Houses with both a survey and yard data: answers next to yard measures."""
-    rows = floral_plans.clean_rows(study.floral)
-    link = floral_plans.house_neighbourhoods(study.floral)
-    cover = lawn_plans.species_cover(study.lawn, study.native_lawn)
+def direct_house(survey_parcel: DataFrame, rows: DataFrame, cover: DataFrame) -> DataFrame:
+    """Houses with both a survey and yard data: answers next to yard measures.
+
+    ``rows`` are the cleaned plant rows; they are read once per measure, so pass
+    a materialised table.
+    """
     number = lambda c: F.col(c).try_cast("double")
-    answers = study.survey_parcel.select(
+    answers = survey_parcel.select(
         "house_id",
         *[number(c).alias(c) for c in ("a6", "a8", "a902")],
         ((number("a901") + number("a903") + number("a905")) / 3).alias("watercons"),
@@ -201,6 +202,7 @@ def direct_house(study: Study) -> DataFrame:
         F.col("color_num").cast("double").alias("color_num_f"),
         F.col("genera_num").cast("double").alias("rich_flowers"),
     )
+    link = rows.select("nb", "house_id").distinct()
     natives = floral_plans.house_native_richness(rows, link).select(
         "house_id", F.col("natives_rich").cast("double").alias("natives_rich_f")
     )
