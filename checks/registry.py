@@ -56,7 +56,13 @@ class Data:
 
     @functools.cached_property
     def cover(self) -> DataFrame:
-        return lawn.species_cover(self.study.lawn, self.study.native_lawn)
+        lookup = _once(
+            self.spark,
+            self.folder,
+            "native lawn",
+            lambda: materialise(self.study.native_lawn, "native-lawn"),
+        )
+        return lawn.species_cover(self.study.lawn, lookup)
 
     @property
     def info(self) -> DataFrame:

@@ -21,36 +21,44 @@ from pyspark.sql import functions as F
 
 
 def _tile_minima(block: pd.DataFrame) -> pd.DataFrame:
-    """Sum over the strip's taxa of the smaller abundance, for the tile's pairs."""
+    """For the tile's pairs, sum over the strip's taxa of the smaller abundance.
+
+    ``totals`` is the sum of both site totals where the block carries them
+    (strip 0) and 0 elsewhere.
+    """
     low, high = int(block["tile_low"].iat[0]), int(block["tile_high"].iat[0])
     taxa, column = np.unique(block["taxon"].to_numpy(), return_inverse=True)
-    mine = block["tile"].to_numpy()
     tables = {}
     for side in {low, high}:
-        rows = mine == side
+        rows = block["tile"].to_numpy() == side
         names, index = np.unique(block["site"].to_numpy()[rows], return_inverse=True)
-        table = np.zeros((len(names), len(taxa)))
+        table, totals = np.zeros((len(names), len(taxa))), np.zeros(len(names))
         np.add.at(table, (index, column[rows]), block["abundance"].to_numpy()[rows])
-        tables[side] = names, table
-    (left, a), (right, b) = tables.get(low, ([], None)), tables.get(high, ([], None))
+        np.add.at(totals, index, block["total"].to_numpy()[rows])
+        tables[side] = names, table, totals
+    (left, a, total_a), (right, b, total_b) = tables[low], tables[high]
     parts = []
     for i, name in enumerate(left):
-        others = np.asarray(right[i + 1 :] if low == high else right, dtype=object)
-        if len(others):
-            values = np.minimum(a[i], b[i + 1 :] if low == high else b).sum(axis=1)
-            swap = others < name
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "site_i": np.where(swap, others, name),
-                        "site_j": np.where(swap, name, others),
-                        "shared": values,
-                    }
-                )
+        rest = slice(i + 1, None) if low == high else slice(None)
+        others = right[rest]
+        swap = others < name
+        parts.append(
+            pd.DataFrame(
+                {
+                    "site_i": np.where(swap, others, name),
+                    "site_j": np.where(swap, name, others),
+                    "shared": np.minimum(a[i], b[rest]).sum(axis=1),
+                    "totals": total_a[i] + total_b[rest],
+                }
             )
-    if not parts:
-        return pd.DataFrame({"site_i": [], "site_j": [], "shared": []})
-    return pd.concat(parts, ignore_index=True)
+        )
+    filled = [part for part in parts if len(part)]
+    return pd.concat(filled, ignore_index=True) if filled else _NO_PAIRS
+
+
+_NO_PAIRS = pd.DataFrame({"site_i": [], "site_j": [], "shared": [], "totals": []}).astype(
+    {"site_i": object, "site_j": object}
+)
 
 
 def bray_curtis(
@@ -80,34 +88,34 @@ def bray_curtis(
     ).first()
     tiles = max(1, math.ceil(extent["sites"] / tile))
     strips = max(1, math.ceil(extent["taxa"] / strip))
-    totals = rows.groupBy("site").agg(F.sum("abundance").alias("total"))
-    # Every site is present in strip 0, so pairs without a common strip appear too.
-    anchors = totals.select("site", F.lit("").alias("taxon"), F.lit(0.0).alias("abundance"))
-    keyed = (
-        rows.withColumn("strip", F.pmod(F.xxhash64("taxon"), F.lit(strips)).cast("int"))
-        .unionByName(anchors.withColumn("strip", F.lit(0)))
-        .withColumn("tile", F.pmod(F.xxhash64("site"), F.lit(tiles)).cast("int"))
-    )
-    copies = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
-        F.least("tile", "other").alias("tile_low"),
-        F.greatest("tile", "other").alias("tile_high"),
-        "strip",
-        "tile",
+    # One row per site carries its total into strip 0.  Every pair therefore
+    # appears there, with or without a common taxon, and the totals need no join.
+    totals = rows.groupBy("site").agg(F.sum("abundance").alias("total")).select(
         "site",
-        "taxon",
-        "abundance",
+        F.lit("").alias("taxon"),
+        F.lit(0.0).alias("abundance"),
+        "total",
+        F.lit(0).alias("strip"),
+    )
+    keyed = rows.select(
+        "*",
+        F.lit(0.0).alias("total"),
+        F.pmod(F.xxhash64("taxon"), F.lit(strips)).cast("int").alias("strip"),
+    ).unionByName(totals)
+    copies = (
+        keyed.withColumn("tile", F.pmod(F.xxhash64("site"), F.lit(tiles)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+        .withColumn("tile_low", F.least("tile", "other"))
+        .withColumn("tile_high", F.greatest("tile", "other"))
+        .drop("other")
     )
-    shared = (
-        copies.groupBy("tile_low", "tile_high", "strip")
-        .applyInPandas(_tile_minima, "site_i string, site_j string, shared double")
-        .groupBy("site_i", "site_j")
-        .agg(F.sum("shared").alias("shared"))
+    pairs = copies.groupBy("tile_low", "tile_high", "strip").applyInPandas(
+        _tile_minima, "site_i string, site_j string, shared double, totals double"
     )
-    left = totals.withColumnsRenamed({"site": "site_i", "total": "total_i"})
-    right = totals.withColumnsRenamed({"site": "site_j", "total": "total_j"})
-    pairs = shared.join(left, "site_i").join(right, "site_j")
+    if strips > 1:
+        pairs = pairs.groupBy("site_i", "site_j").agg(
+            F.sum("shared").alias("shared"), F.sum("totals").alias("totals")
+        )
     return pairs.select(
-        "site_i",
-        "site_j",
-        (1 - F.try_divide(2 * F.col("shared"), F.col("total_i") + F.col("total_j"))).alias("d"),
+        "site_i", "site_j", (1 - F.try_divide(2 * F.col("shared"), F.col("totals"))).alias("d")
     )

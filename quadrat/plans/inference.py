@@ -63,12 +63,13 @@ class Prepared:
 
 
 def prepare(study: Study) -> Prepared:
+    lookup = materialise(study.native_lawn, "native-lawn")
     unused = ("num_plants_water", "photo_id", "notes")
     rows = materialise(floral.clean_rows(study.floral).drop(*unused), "clean-rows")
     return Prepared(
         study=study,
         rows=rows,
-        cover=materialise(lawn.species_cover(study.lawn, study.native_lawn), "species-cover"),
+        cover=materialise(lawn.species_cover(study.lawn, lookup), "species-cover"),
         link=rows.select("nb", "house_id").distinct(),
         nb_info=materialise(study.nb_info, "nb-info"),
     )

@@ -30,7 +30,9 @@ def species_cover(
     """Mean cover of each species row, front, back and overall.
 
     A yard side needs both of its plots; the overall cover is the mean of the
-    sides that have one.
+    sides that have one.  Species are few and some hold a large share of the
+    rows: pass a lookup whose size Spark knows (a file), so that it is broadcast
+    without shuffling the rows by species.
     """
     rows = sampled(lawn, exclude).where(
         (F.col("species") != NO_LAWN) & (F.col("species") != NOT_COLLECTED)

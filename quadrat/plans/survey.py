@@ -35,15 +35,27 @@ IDS = ("parcel_id", "house_id")
 
 
 def item_importance(survey: DataFrame) -> DataFrame:
-    """Mean, deviation and count of every non-id column of the survey."""
+    """Mean, deviation and count of every non-id column of the survey.
+
+    Each column is summarised in one pass and the one-row result is unpivoted,
+    so the answers themselves are never multiplied.
+    """
     columns = [c for c in survey.columns if c not in IDS]
-    answers = survey.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    long = lengthen(answers, [], {c: c.upper() for c in columns})
-    scored = long.withColumn("answer", m.to_number("value"))
-    summary = mean_se(
-        scored, ["variable"], "answer", "importance", strict=False, n=m.present("answer")
+    answers = survey.select(*[m.to_number(F.col(c).cast("string")).alias(c) for c in columns])
+    summary = answers.agg(
+        *[
+            F.struct(
+                m.lenient_mean(c).alias("importance"),
+                m.lenient_sd(c).alias("sd"),
+                m.present(c).alias("n"),
+            ).alias(c)
+            for c in columns
+        ]
+    )
+    long = lengthen(summary, [], {c: c.upper() for c in columns}, value="item")
+    return long.select(m.recode("variable", ITEM_LABELS).alias("variable"), "item.*").withColumn(
+        "se", m.standard_error("sd", "n")
     )
-    return summary.withColumn("variable", m.recode("variable", ITEM_LABELS))
 
 
 def attitude_by_neighbourhood(
