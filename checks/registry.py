@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.oracles import lawn_taxa, taxa
 from checks.rounding import fixed
 from quadrat.functions import missing as m
 from quadrat.operators import community as cm
@@ -166,10 +167,10 @@ SUMMARIES: dict[str, Callable[[Data], DataFrame]] = {
     "floral_taxon_long": lambda d: d.long("floral"),
     "lawn_taxon_long": lambda d: d.long("lawn"),
     "floral_taxon_wide": lambda d: communities.community_matrix(
-        d.long("floral"), communities.FLORAL_ATTRIBUTES
+        d.long("floral"), communities.FLORAL_ATTRIBUTES, taxa()
     ),
     "lawn_taxon_wide": lambda d: communities.community_matrix(
-        d.long("lawn"), communities.LAWN_ATTRIBUTES
+        d.long("lawn"), communities.LAWN_ATTRIBUTES, lawn_taxa()
     ),
     "plot_cover_long": lambda d: communities.plot_covers(d.study.lawn),
     "color_area": lambda d: floral.color_area(d.rows, d.info),

@@ -33,10 +33,12 @@ def floral(spark: SparkSession, folder: str) -> DataFrame:
     lineitem, orders, customer, part = (
         table(spark, folder, t) for t in ("lineitem", "orders", "customer", "part")
     )
+    # Orders meet customers first: the line items are then shuffled by order and by
+    # part only, never by customer, where a hot house would gather them.
+    owners = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     rows = (
         spread(lineitem, "l_orderkey", "l_linenumber")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .withColumns(
             {

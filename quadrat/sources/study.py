@@ -12,17 +12,8 @@ from pyspark.sql import types as T
 
 from quadrat.functions import missing as m
 
-# File names, and per file the headers that are renamed beyond
-# lower-casing (written as a statistics package rewrites them, dots for symbols).
-FILES = {
-    "nb_info": "NB_details.csv",
-    "direct_house": "Direct_house.csv",
-    "survey_parcel": "Survey_parcel.csv",
-    "floral": "Floral_data_all_clean.csv",
-    "lawn": "Lawns2014.csv",
-    "native_lawn": "Native_Lawn.csv",
-    "water_cons": "WaterCons_df.csv",
-}
+# Headers that are renamed beyond lower-casing, written as a statistics
+# package rewrites them (dots for symbols).
 RENAMED = {
     "Yr_Built.x": "yr_built",
     "X.F.stems": "flower_stems",
@@ -44,6 +35,8 @@ NUMERIC = {
     "water_cons": ["watercons", "water_wghtd_avg"],
 }
 
+FILES = {name: f"{name}.csv" for name in NUMERIC}
+
 
 @dataclass(frozen=True)
 class Study:
@@ -98,9 +91,11 @@ def income_in_thousands(nb_info: DataFrame) -> DataFrame:
 def read_study(
     spark: SparkSession, folder: str, files: Mapping[str, str] = FILES
 ) -> Study:
-    """All tables of a study folder."""
+    """All tables of a study folder; ``files`` names any that are called differently."""
+    names = {**FILES, **files}
     tables = {
-        name: read_table(spark, f"{folder}/{file}", NUMERIC[name]) for name, file in files.items()
+        name: read_table(spark, f"{folder}/{names[name]}", numeric)
+        for name, numeric in NUMERIC.items()
     }
     tables["nb_info"] = income_in_thousands(tables["nb_info"])
     return Study(**tables)

@@ -6,11 +6,11 @@ from quadrat.plans import communities, figures, floral, lawn, survey
 from quadrat.sources import study as st
 
 FILES = {
-    "NB_details.csv": """Nb,Med_Inc,Yr_Built.x,Ave_Elev,Ann_Precip,nb_age,nb_inc,city,Type
-n1,50000,1950,1300,400,old,low,Provo,x
-n2,90000,1990,1400,500,new,high,Provo,x
+    "nb_info.csv": """Nb,Med_Inc,Yr_Built.x,Ave_Elev,Ann_Precip,nb_age,nb_inc,city,Type
+n1,50000,1950,1300,400,old,low,Town,x
+n2,90000,1990,1400,500,new,high,Town,x
 """,
-    "Floral_data_all_clean.csv": """Nb,Block,House_ID,Family,Genus,Front/Back,#F stems,# F plants,Flower Width (cm),Flower Length (cm),ave_flower_perstem,Water_man,Native_man,color1,color2,Inf Type,Symmetry,flowertype,photo_ID,notes
+    "floral.csv": """Nb,Block,House_ID,Family,Genus,Front/Back,#F stems,# F plants,Flower Width (cm),Flower Length (cm),ave_flower_perstem,Water_man,Native_man,color1,color2,Inf Type,Symmetry,flowertype,photo_ID,notes
 n1,b1,h1,Rosaceae,Rosa,Front,10,2,2,3,4,1,0,Red,,head,radial,single,p1,
 n1,b1,h1,Rosaceae,Rosa,Back,5,2,n/a,3,1,n/a,1,Red,White,NA,Unknown,single,p2,
 n1,b1,h2,NoFlowers,NoFlowers,Front,0,0,,,0,NA,n/a,NoFlowers,,NoFlowers,NoFlowers,NoFlowers,p3,
@@ -18,7 +18,7 @@ n2,b1,h3,Asteraceae,Aster,Front,bad,4,1,1,2,3,1,brown,Blue,head,radial,double,p4
 NA,b1,h9,Asteraceae,Aster,Front,1,1,1,1,1,1,1,Blue,,head,radial,single,p5,
 n2,b1,387_11_4,Asteraceae,Aster,Front,1,1,1,1,1,1,1,Blue,,head,radial,single,p6,
 """,
-    "Lawns2014.csv": """Nb,Block,House_ID,Species,F1,F2,B1,B2,N.fixer,Veg_Garden,VG,notes
+    "plots.csv": """Nb,Block,House_ID,Species,F1,F2,B1,B2,N.fixer,Veg_Garden,VG,notes
 n1,b1,h1,Poa,10,20,30,40,0,,,
 n1,b1,h1,Trifolium,10,NA,5,5,1,,,
 n1,b1,h4,Poa,NA,NA,NA,1,0,,,
@@ -26,15 +26,15 @@ n2,b1,h3,NO LAWN,0,0,0,0,0,,,
 n2,b1,h3,Not collected,NA,NA,NA,NA,NA,,,
 n2,b1,651_1_4,Poa,1,1,1,1,0,,,
 """,
-    "Native_Lawn.csv": "Species,Native_merge,Type\nPoa,0,Lawn\nTrifolium,1,Weed\n",
-    "Survey_parcel.csv": """PARCEL_ID,House_ID,Nb,A6,A8,A902,A909
+    "native_lawn.csv": "Species,Native_merge,Type\nPoa,0,Lawn\nTrifolium,1,Weed\n",
+    "survey_parcel.csv": """PARCEL_ID,House_ID,Nb,A6,A8,A902,A909
 p1,h1,n1,1,3,2,1
 p2,h2,n1,2,n/a,NA,2
 p3,110_2_1,n1,3,0,0,3
 p4,h3,n2,,1,3,0
 """,
-    "Direct_house.csv": "A902,color.num_F\n2,3\n",
-    "WaterCons_df.csv": "Watercons,water_wghtd_avg\n1.5,NA\n",
+    "direct_house.csv": "A902,color.num_F\n2,3\n",
+    "water_cons.csv": "Watercons,water_wghtd_avg\n1.5,NA\n",
 }
 
 
@@ -43,7 +43,7 @@ def study(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("study")
     for name, text in FILES.items():
         (folder / name).write_text(text)
-    return st.read_study(spark, str(folder))
+    return st.read_study(spark, str(folder), {"lawn": "plots.csv"})
 
 
 @pytest.fixture(scope="module")
@@ -103,7 +103,7 @@ def test_house_totals_follow_the_rule_of_each_column(rows):
 def test_neighbourhood_totals(rows, study):
     r = one(floral.neighbourhood_totals(floral.house_totals(rows), study.nb_info), nb="n1")
     assert r["plants"] == 2.0 and r["n_plants"] == 2 and r["se_plants"] == pytest.approx(2.0)
-    assert r["m_size"] is None and r["m_water"] == 1.0 and r["city"] == "Provo"
+    assert r["m_size"] is None and r["m_water"] == 1.0 and r["city"] == "Town"
 
 
 def test_traits(rows):
