@@ -111,20 +111,23 @@ def _anova(source: str, by: str) -> str:
     return f"""
 usable AS (SELECT * FROM {source} WHERE x IS NOT NULL AND g IS NOT NULL AND y IS NOT NULL),
 overall_fit AS (SELECT {by}, count(*) AS n, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy,
-  regr_sxy(y, x) AS sxy FROM usable GROUP BY {by}),
+  regr_sxy(y, x) AS sxy, avg(x) AS o_mx, avg(y) AS o_my FROM usable GROUP BY {by}),
 group_fit AS (SELECT {by}, g, count(*) AS gn, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS gxx,
   regr_syy(y, x) AS gyy, regr_sxy(y, x) AS gxy FROM usable GROUP BY {by}, g),
-within_fit AS (SELECT {by}, count(*) AS k, sum(gxx) AS wxx, sum(gyy) AS wyy, sum(gxy) AS wxy,
+within_fit AS (SELECT {by}, count(*) AS k, sum(gxx) AS wxx, sum(gxy) AS wxy,
   sum(gyy - gxy * gxy / gxx) AS sse_full FROM group_fit GROUP BY {by}),
-nested AS (SELECT *, syy - sxy * sxy / sxx AS sse_x, wyy - wxy * wxy / wxx AS sse_xg,
-  n - 2 * k AS df_residual FROM overall_fit JOIN within_fit USING ({by})),
+-- residuals of each fit in turn, so that no large sums are subtracted
+steps AS (SELECT {by}, any_value(n - 2 * k) AS df_residual, any_value(k) AS k,
+  any_value(sse_full) AS sse_full, any_value(sxy * sxy / sxx) AS ss_x,
+  any_value(pow(sxy / sxx - wxy / wxx, 2) * wxx)
+    + sum(gn * pow(my - o_my - sxy / sxx * (mx - o_mx), 2)) AS ss_g,
+  sum(gxx * pow(gxy / gxx - wxy / wxx, 2)) AS ss_xg
+  FROM group_fit JOIN within_fit USING ({by}) JOIN overall_fit USING ({by}) GROUP BY {by}),
 table_rows AS (
-  SELECT {by}, 1 AS position, '{{x}}' AS term, 1 AS df, syy - sse_x AS ss, sse_full, df_residual
-  FROM nested
-  UNION ALL SELECT {by}, 2, '{{g}}', k - 1, sse_x - sse_xg, sse_full, df_residual FROM nested
-  UNION ALL SELECT {by}, 3, '{{x}}:{{g}}', k - 1, sse_xg - sse_full, sse_full, df_residual
-  FROM nested
-  UNION ALL SELECT {by}, 4, 'residuals', df_residual, sse_full, NULL, df_residual FROM nested)"""
+  SELECT {by}, 1 AS position, '{{x}}' AS term, 1 AS df, ss_x AS ss, sse_full, df_residual FROM steps
+  UNION ALL SELECT {by}, 2, '{{g}}', k - 1, ss_g, sse_full, df_residual FROM steps
+  UNION ALL SELECT {by}, 3, '{{x}}:{{g}}', k - 1, ss_xg, sse_full, df_residual FROM steps
+  UNION ALL SELECT {by}, 4, 'residuals', df_residual, sse_full, NULL, df_residual FROM steps)"""
 
 
 def _anova_columns(by: str) -> str:
@@ -149,7 +152,7 @@ FROM (
     FROM lines JOIN base USING (comparison) WHERE g <> g0
     UNION ALL SELECT comparison, 'income:grouping' || g, b - b0, vb + vb0
     FROM lines JOIN base USING (comparison) WHERE g <> g0)
-  JOIN nested USING (comparison))"""
+  JOIN steps USING (comparison))"""
 
 
 LINES = """

@@ -167,31 +167,43 @@ def _group_lines(
 
 
 def _interaction_sums(lines: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Error sums of squares of the nested models y ~ 1, x, x + g, x * g."""
+    """Sums of squares gained by x, then groups, then separate slopes.
+
+    Each gain is a sum of squares of its own, not a difference of large sums: the
+    group term is what the overall line leaves in the group means plus what the
+    common slope adds inside the groups; the interaction is the spread of the
+    group slopes around the common one.
+    """
     own = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
     total = F.sum("n").over(own)
     centred = lines.withColumns(
         {
             "gx": F.col("mx") - F.sum(F.col("n") * F.col("mx")).over(own) / total,
             "gy": F.col("my") - F.sum(F.col("n") * F.col("my")).over(own) / total,
+            "wxx": F.sum("sxx").over(own),
+            "wxy": F.sum("sxy").over(own),
         }
     )
     n = F.col("n")
-    within_xx, within_xy, within_yy = F.sum("sxx"), F.sum("sxy"), F.sum("syy")
-    all_xx = within_xx + F.sum(n * F.col("gx") * F.col("gx"))
-    all_xy = within_xy + F.sum(n * F.col("gx") * F.col("gy"))
-    all_yy = within_yy + F.sum(n * F.col("gy") * F.col("gy"))
-    explained = F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))
-    return centred.groupBy(*by).agg(
+    sloped = centred.withColumns(
+        {
+            "own": F.coalesce(F.try_divide("sxy", "sxx"), F.lit(0.0)),
+            "common": F.coalesce(F.try_divide("wxy", "wxx"), F.lit(0.0)),
+            "all_xx": F.col("wxx") + F.sum(n * F.col("gx") * F.col("gx")).over(own),
+            "all_xy": F.col("wxy") + F.sum(n * F.col("gx") * F.col("gy")).over(own),
+        }
+    ).withColumn("overall", F.coalesce(F.try_divide("all_xy", "all_xx"), F.lit(0.0)))
+    left = F.col("gy") - F.col("overall") * F.col("gx")
+    shift = F.col("overall") - F.col("common")
+    turn = F.col("own") - F.col("common")
+    return sloped.groupBy(*by).agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("k"),
         F.count_if(F.col("sxx") > 0).alias("slopes"),
-        all_yy.alias("sse_0"),
-        (all_yy - F.coalesce(F.try_divide(all_xy * all_xy, all_xx), F.lit(0.0))).alias("sse_x"),
-        (
-            within_yy - F.coalesce(F.try_divide(within_xy * within_xy, within_xx), F.lit(0.0))
-        ).alias("sse_xg"),
-        (within_yy - F.coalesce(F.sum(explained), F.lit(0.0))).alias("sse_full"),
+        F.max(F.col("overall") * F.col("all_xy")).alias("ss_x"),
+        (F.sum(n * left * left) + F.max(shift * shift * F.col("wxx"))).alias("ss_g"),
+        F.sum(F.col("sxx") * turn * turn).alias("ss_xg"),
+        F.sum(F.col("syy") - F.col("own") * F.col("sxy")).alias("sse_full"),
     )
 
 
@@ -206,9 +218,9 @@ def interaction_anova(
     sums = _interaction_sums(_group_lines(df, y, x, group, by), by)
     residual_df = F.col("n") - F.col("k") - F.col("slopes")
     terms = [
-        (x, F.lit(1).cast("bigint"), F.col("sse_0") - F.col("sse_x")),
-        (group, F.col("k") - 1, F.col("sse_x") - F.col("sse_xg")),
-        (f"{x}:{group}", F.col("slopes") - 1, F.col("sse_xg") - F.col("sse_full")),
+        (x, F.lit(1).cast("bigint"), F.col("ss_x")),
+        (group, F.col("k") - 1, F.col("ss_g")),
+        (f"{x}:{group}", F.col("slopes") - 1, F.col("ss_xg")),
         ("residuals", residual_df, F.col("sse_full")),
     ]
     rows = F.array(
