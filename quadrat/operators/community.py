@@ -49,13 +49,8 @@ def _design(labels: DataFrame) -> DataFrame:
 
 def _total_squares(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(factor, n, k, ss_total)``."""
-    squares = pairs.agg(F.sum(F.col("d") * F.col("d")).alias("__d2")).withColumn(
-        "__one", F.lit(1)
-    )
-    design = _design(labels).withColumn("__one", F.lit(1))
-    return design.join(squares, "__one").select(
-        "factor", "n", "k", (F.col("__d2") / F.col("n")).alias("ss_total")
-    )
+    squares = pairs.select(F.sum(F.col("d") * F.col("d"))).scalar()
+    return _design(labels).select("factor", "n", "k", (squares / F.col("n")).alias("ss_total"))
 
 
 def _f_ratio(ss_within: str) -> Column:

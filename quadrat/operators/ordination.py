@@ -12,6 +12,8 @@ value 1, and this keeps that hot value to one row.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -186,18 +188,14 @@ def _moved(pulls: DataFrame, scale: dict[int, float], relax: bool) -> DataFrame:
 
 def _principal_axes(points: DataFrame) -> DataFrame:
     """Centre the points and rotate them so that axis 1 varies most."""
-    moments = points.agg(
-        F.avg("x").alias("mx"), F.avg("y").alias("my"),
-        F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"),
-    )
-    angle = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
-    turn = moments.select("mx", "my", angle.alias("angle")).withColumn("one", F.lit(1))
-    x, y = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    cos, sin = F.cos("angle"), F.sin("angle")
-    return (
-        points.withColumn("one", F.lit(1))
-        .join(turn, "one")
-        .select("site", (x * cos + y * sin).alias("axis1"), (y * cos - x * sin).alias("axis2"))
+    mx, my, xx, yy, xy = points.agg(
+        F.avg("x"), F.avg("y"), F.var_pop("x"), F.var_pop("y"), F.covar_pop("x", "y")
+    ).first()
+    angle = math.atan2(2 * xy, xx - yy) / 2
+    x, y = F.col("x") - mx, F.col("y") - my
+    cos, sin = math.cos(angle), math.sin(angle)
+    return points.select(
+        "site", (x * cos + y * sin).alias("axis1"), (y * cos - x * sin).alias("axis2")
     )
 
 

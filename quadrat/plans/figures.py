@@ -82,7 +82,9 @@ def points_with_trend(
     """
     shown = points(df, x, y, se, x_limits, y_limits, group)
     if group is None:
-        shown = shown.withColumn("series", F.lit("all"))
+        line = trend_lines(shown, "x", "y").select(F.struct("slope", "intercept")).scalar()
+        fitted = shown.withColumn("line", line)
+        return fitted.select(F.lit("all").alias("series"), *shown.columns, "line.*")
     lines = trend_lines(shown, "x", "y", ["series"]).select("series", "slope", "intercept")
     return null_safe_join(shown, lines, ["series"], "left")
 
