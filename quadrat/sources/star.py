@@ -35,9 +35,9 @@ def floral(spark: SparkSession, folder: str) -> DataFrame:
     )
     # Orders meet customers first: the line items are then shuffled by order and by
     # part only, never by customer, where a hot house would gather them.
-    owners = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    owners = spread(orders, "o_orderkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     rows = (
-        spread(lineitem, "l_orderkey", "l_linenumber")
+        spread(lineitem, "l_orderkey")
         .join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .withColumns(
