@@ -7,11 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import language
+from quadrat.llm import jaccard, language, mixing, packing, toxicity
 from quadrat.llm.common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The mix of the registered query: sources weigh 3, 1 and 2 in turn, at all times.
+WEIGHTS = [[3.0, 3.0], [1.0, 1.0], [2.0, 2.0]]
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 tokens."""
+    return packing.pack(table(spark, folder, "documents"), vocabulary())
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of each document, at most twice its size."""
+    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"), WEIGHTS)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels of four of five id folds are learned."""
+    held_out = crc_fold("doc_id", 5) == 0
+    rows = table(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    scored = toxicity.score(rows, table(spark, folder, "labels"), ~held_out)
+    return scored.select(
+        "doc_id", "held_out", F.col("toxicity").alias("score"), F.col("is_toxic").alias("predicted")
+    )
+
 
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document; learned from three of four id folds."""
@@ -22,8 +52,20 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Group and number of links of every document: word 5-grams, Jaccard 0.8."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard.similar_groups(docs).drop("text")
+
+
 def queries() -> dict[str, Query]:
-    return {"op9_language_id": op9_language_id}
+    return {
+        "op2_packing": op2_packing,
+        "op4_mixing": op4_mixing,
+        "op7_toxicity": op7_toxicity,
+        "op9_language_id": op9_language_id,
+        "op10_jaccard_join": op10_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
