@@ -1,7 +1,7 @@
 """A training-corpus pipeline: language, toxicity, near duplicates, mixture, packing.
 
 Each stage reads what its predecessor wrote.  All but the last return the columns of
-``documents``.
+``documents``; the last returns the pieces of the packed sequences.
 """
 
 from __future__ import annotations
@@ -11,26 +11,57 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import language
+from quadrat.llm import jaccard, language, mixing, packing, queries, toxicity
 from quadrat.llm.common import crc_fold, table
 from quadrat.session import shared_folder
 
-# Both operators below are iterative or trained, so SQL cannot express the rows.
+# Stages are iterative or trained, so SQL cannot express the rows.
 ORACLE_SQL = None
 
 
-def _trained_language(spark: SparkSession, folder: str):
-    return language.fit(table(spark, folder, "documents"), crc_fold("doc_id", 4) != 2)
-
-
 def keep_known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop texts without a letter, and those where no language has a quarter of the letters."""
-    found = language.identify(docs, _trained_language(spark, folder))
+    model = language.fit(table(spark, folder, "documents"), crc_fold("doc_id", 4) != 2)
+    found = language.identify(docs, model)
     good: Column = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.25)
     return found.where(good).select(*docs.columns)
 
 
-STAGES = [("language_id", keep_known_language)]
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Drop texts whose toxicity is a half or more."""
+    learn = crc_fold("doc_id", 5) != 0
+    scored = toxicity.score(docs, table(spark, folder, "labels"), learn)
+    return scored.where("is_toxic = 0").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of near-duplicate documents (five-word shingles, Jaccard 0.8) keep one."""
+    return jaccard.similar_groups(docs).where("kept").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Repeat or drop documents as the mix takes them; rows are in training order.
+
+    A document of which the mix takes more than its size appears again; one that is cut by the
+    end of its source's target appears whole, so that no text is truncated.
+    """
+    mixed = mixing.mix(docs, queries.WEIGHTS)
+    times = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens."""
+    return packing.pack(docs, queries.vocabulary())
+
+
+STAGES = [
+    ("language_id", keep_known_language),
+    ("toxicity", drop_toxic),
+    ("jaccard_join", one_of_each_group),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
