@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import written
 
 
-def bucket_pairs(rows: DataFrame, near: Column, tile: int = 128) -> DataFrame:
-    """Pairs (``a.*`` before ``b.*`` by ``id``) of rows with one ``key`` that satisfy ``near``.
+def tiles(rows: DataFrame, tile: int = 256) -> DataFrame:
+    """``rows`` (key, id, n: rows with this key, ...) dealt so that pairs of one key meet.
 
-    ``rows``: key, id, n (rows with this key) and what ``near`` reads as ``a.x`` and ``b.x``.
-    A key with more than ``tile`` rows is cut into groups by a hash of the id; every pair of
-    groups is a join key of its own, so no task holds more than two groups of one key.
+    A key with more than ``tile`` rows is cut into groups by a hash of the id.  Every pair of
+    groups is a cell (key, low, high), so no cell holds more than about two tiles; pairs within
+    a group meet in the cell low = high, others only across ``mine``.  Partitions hold whole
+    cells, in order, for ``chunks``.
     """
     groups = F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int")
     cut = rows.withColumn("groups", groups).withColumn(
@@ -23,13 +28,99 @@ def bucket_pairs(rows: DataFrame, near: Column, tile: int = 128) -> DataFrame:
         F.sequence(F.lit(0), F.col("groups") - 1),
         lambda g: F.struct(F.least(g, F.col("mine")).alias("low"), F.greatest(g, F.col("mine")).alias("high")),
     )
-    spread = cut.withColumn("meet", F.explode(meets)).withColumn(
-        "cell", F.xxhash64("key", "meet.low", "meet.high")
+    spread = cut.withColumn("meet", F.explode(meets)).select(
+        *[c for c in rows.columns if c != "n"], "mine", "meet.low", "meet.high"
     )
-    same = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") == F.col("b.key"))
-    return (
-        spread.alias("a").join(spread.alias("b"), same & (F.col("a.id") < F.col("b.id")) & near)
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.key").alias("key"))
+    return together(spread)
+
+
+def together(cells: DataFrame) -> DataFrame:
+    return cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Whole cells at a time: rows, the cell of each row, and ``mine`` where it matters, else -row."""
+    held: pa.Table | None = None
+
+    def cells(table: pa.Table) -> np.ndarray:
+        parts = [table.column(n).to_numpy() for n in ("key", "low", "high")]
+        new = np.zeros(table.num_rows, dtype=bool)
+        for part in parts:
+            new[1:] |= part[1:] != part[:-1]
+        return np.cumsum(new)
+
+    def made(table: pa.Table, cell: np.ndarray):
+        mine, low, high = (table.column(n).to_numpy() for n in ("mine", "low", "high"))
+        return table, cell, np.where(low == high, -1 - np.arange(table.num_rows), mine)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if not held.num_rows:
+            continue
+        cell = cells(held)
+        end = int(np.searchsorted(cell, cell[-1]))
+        if end:
+            yield made(held.slice(0, end).combine_chunks(), cell[:end])
+            held = held.slice(end)
+    if held is not None and held.num_rows:
+        yield made(held, cells(held))
+
+
+def meetings(cell: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i before j, of rows that meet in a cell; one distance at a time."""
+    i, step = np.arange(len(cell)), 1
+    while True:
+        i = i[i + step < len(cell)]
+        i = i[cell[i] == cell[i + step]]
+        if not len(i):
+            return
+        apart = side[i] != side[i + step]
+        yield i[apart], i[apart] + step
+        step += 1
+
+
+def forest(i: list[int], j: list[int]) -> list[tuple[int, int]]:
+    """Enough of the pairs (i, j) to connect what all of them connect."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    kept = []
+    for a, b in zip(i, j):
+        x, y = top(a), top(b)
+        if x != y:
+            root[y] = x
+            kept.append((a, b))
+    return kept
+
+
+FOUND = "a string, b string, links long, once long, twice long"
+
+
+def tally(ids: pa.ChunkedArray, i: np.ndarray, j: np.ndarray, copies: np.ndarray, hits: np.ndarray) -> pa.RecordBatch:
+    """Links of a chunk: per row the documents linked (b null), and a forest of the links."""
+    linked = np.zeros(len(copies), dtype=np.int64)
+    np.add.at(linked, i, copies[j])
+    np.add.at(linked, j, copies[i])
+    at = np.nonzero(linked)[0]
+    once, twice = np.zeros(len(copies), dtype=np.int64), np.zeros(len(copies), dtype=np.int64)
+    np.add.at(once, i, hits == 1)
+    np.add.at(twice, i, hits == 2)
+    tree = forest(i.tolist(), j.tolist())
+    left = np.concatenate([at, np.array([a for a, _ in tree], dtype=np.int64)])
+    right = pa.array([None] * len(at) + [b for _, b in tree], pa.int64())
+    flat = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    none = np.zeros(len(tree), dtype=np.int64)
+    return pa.RecordBatch.from_arrays(
+        [flat.take(pa.array(left)), flat.take(right), *[
+            pa.array(np.concatenate([x[at], none])) for x in (linked, once, twice)
+        ]],
+        names=["a", "b", "links", "once", "twice"],
     )
 
 

@@ -4,10 +4,10 @@ Documents with equal sets form a class, found exactly; classes are joined.  A ru
 every class down one random path: the first step is the smallest shingle under one of the
 random orders (a sampled token of the set), so classes with Jaccard similarity s share it with
 probability s.  Buckets above a limit are split again by 1 / threshold sampled tokens on
-average; small ones are compared by brute force.  Runs repeat, in rounds, until the estimated
-share of links found reaches the target; the estimate (Chao's) uses how many links were seen
-by one run and by two.  Pairs that pass a one-bit sketch, five deviations wide, are verified on
-whole sets.
+average, until they are small or keep half of their parent, which means they are alike; their
+pairs are compared by brute force, in cells of bounded size.  Candidates pass a one-bit sketch,
+five deviations wide, and are verified on whole sets.  If the share of links found, estimated
+from those that one run and two runs saw (Chao), misses the target, the runs are doubled.
 
 Words are runs of non-space characters, lower-cased.  Defined results: a text with one to four
 words has one shingle, all its words; null, empty and blank texts link with nothing and are
@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quadrat.llm.common import without, written
-from quadrat.llm.grouping import bucket_pairs, components
+from quadrat.llm.grouping import FOUND, chunks, components, meetings, tally, tiles, together
 
 COORDINATES = 64
 SKETCH_WORDS = 4
@@ -77,88 +76,110 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _alike(threshold: float) -> Column:
-    """Sketches of a pair at the threshold agree in this many bits, bar five deviations."""
-    bits = 64 * SKETCH_WORDS
-    p = (1 + threshold) / 2
-    most = bits * (1 - p) + 5 * (bits * p * (1 - p)) ** 0.5
-    differ = sum(
-        (F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0)
-    )
-    return differ <= most
-
-
-def _round(signed: DataFrame, runs: range, threshold: float, limit: int, depth: int) -> DataFrame:
-    """Candidate pairs (a, b, hits: runs that found the pair) of some runs."""
+def _paths(signed: DataFrame, runs: int, threshold: float, limit: int) -> DataFrame:
+    """Final buckets of all runs: key, id, n (size of the bucket, at least 2)."""
     first = F.array(*[
-        F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.get("path", F.lit(r % COORDINATES))).alias("key"))
-        for r in runs
+        F.xxhash64(F.lit(r), F.get("path", F.lit(r % COORDINATES))) for r in range(runs)
     ])
-    rows = signed.select("id", F.explode(first).alias("at")).select("id", "at.*")
-    found = []
-    for level in range(1, depth + 1):
-        sizes = rows.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = written(rows.join(sizes, ["run", "key"]), f"jaccard-level{level}")
-        final = level == depth
-        small = rows if final else rows.where(F.col("n") <= limit)
-        held = small.join(signed.select("id", "sketch"), "id")
-        pairs = bucket_pairs(
-            held.select(F.xxhash64("run", "key").alias("key"), "id", "run", "n", "sketch"),
-            (F.col("a.run") == F.col("b.run")) & _alike(threshold),
-        )
-        found.append(pairs.select("a", "b", "key"))
-        large = rows.where(F.col("n") > limit)
-        if final or large.isEmpty():
-            break
+    rows = signed.select("id", F.explode(first).alias("key"), F.lit(None).cast("long").alias("parent"))
+    done = None
+    while True:
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = written(rows.join(sizes, "key"), "jaccard-level")
+        # A bucket that keeps half of its parent is alike already: splitting on would not help.
+        open_ = (F.col("n") > limit) & (F.col("parent").isNull() | (F.col("n") <= F.col("parent") / 2))
+        small = rows.where(~open_).select("key", "id", "n")
+        done = small if done is None else done.unionByName(small)
+        large = rows.where(open_)
+        if large.isEmpty():
+            return done
+
+        def child(salt: str) -> Column:
+            pick = F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(COORDINATES)).cast("int")
+            return F.xxhash64("key", pick, F.get("path", pick))
+
         # A node samples one token, and a second one so often that 1 / threshold is the mean.
-        pick = lambda salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(COORDINATES)).cast("int")
         second = F.pmod(F.xxhash64("key", F.lit("more")), F.lit(1000)) < round(1000 * (1 / threshold - 1))
-        child = lambda salt: F.xxhash64("key", pick(salt), F.get("path", pick(salt)))
         children = F.array_compact(F.array(child("one"), F.when(second, child("two"))))
         rows = large.join(signed.select("id", "path"), "id").select(
-            "run", "id", F.explode(F.array_distinct(children)).alias("key")
+            "id", F.explode(F.array_distinct(children)).alias("key"), F.col("n").alias("parent")
         )
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionByName(more)
-    return union.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    a = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    b = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    whole = F.size("x") + F.size("y") - common
-    # In whole numbers of millionths, so that 4 of 5 is exactly 0.8.
-    holds = common * F.lit(1_000_000).cast("bigint") >= whole * F.lit(round(threshold * 1_000_000)).cast("bigint")
-    return pairs.join(b, "b").join(a, "a").where(holds).select("a", "b", "hits")
+def _candidates(table: pa.Table, cell: np.ndarray, side: np.ndarray, threshold: float):
+    """Pairs of a chunk whose sketches agree and whose first common bucket is this one, and hits."""
+    n = table.num_rows
+    bits = 64 * SKETCH_WORDS
+    p = (1 + threshold) / 2
+    most = bits * (1 - p) + 5 * (bits * p * (1 - p)) ** 0.5
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, SKETCH_WORDS)
+    key = table.column("key").to_numpy()
+    buckets = [frozenset(k) for k in table.column("buckets").to_pylist()]
+    left, right, hits = [], [], []
+    for i, j in meetings(cell, side):
+        near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= most
+        for a, b in zip(i[near].tolist(), j[near].tolist()):
+            both = buckets[a] & buckets[b]
+            if min(both) == key[a]:
+                left.append(a)
+                right.append(b)
+                hits.append(len(both))
+    return np.array(left, np.int64), np.array(right, np.int64), np.array(hits, np.int64)
+
+
+def _needed(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cell, side in chunks(batches):
+            i, j, _ = _candidates(table, cell, side, threshold)
+            yield from table.take(pa.array(np.unique(np.concatenate([i, j])))).to_batches()
+
+    return run
+
+
+def _verify(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cell, side in chunks(batches):
+            i, j, hits = _candidates(table, cell, side, threshold)
+            lists = table.column("grams").combine_chunks()
+            flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sets = [flat[at[k] : at[k + 1]] for k in range(table.num_rows)]
+            holds = np.zeros(len(i), dtype=bool)
+            for k, (a, b) in enumerate(zip(i, j)):
+                x, y = sets[a], sets[b]
+                if min(len(x), len(y)) >= threshold * max(len(x), len(y)) * (1 - 1e-9):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    # In whole millionths, so that 4 of 5 is exactly 0.8.
+                    holds[k] = common * 1_000_000 >= round(threshold * 1_000_000) * (len(x) + len(y) - common)
+            yield tally(table.column("id"), i[holds], j[holds], table.column("copies").to_numpy(), hits[holds])
+
+    return run
 
 
 def class_links(
-    sets: DataFrame, threshold: float = 0.8, *, recall: float = 0.999, limit: int = 128,
-    depth: int = 8, runs: int = 8, most_rounds: int = 8,
+    sets: DataFrame, threshold: float = 0.8, *, recall: float = 0.999, limit: int = 256, runs: int = 8,
 ) -> DataFrame:
-    """Links (a, b) between classes; ``sets``: id, grams (not empty), one row per class."""
-    kind = T.StructType([
-        T.StructField("id", T.StringType()), T.StructField("path", T.ArrayType(T.IntegerType())),
-        T.StructField("sketch", T.ArrayType(T.LongType())),
-    ])
+    """Links between classes, as ``tally`` gives them; ``sets``: id, copies, grams (not empty).
+
+    A pair is handled in the first of the buckets that both members share.  Pairs first meet as
+    sketches; shingles travel only for members of a cell that have a candidate there.
+    """
+    kind = "id string, path array<int>, sketch array<bigint>"
     signed = written(sets.select("id", "grams").mapInArrow(_sketches, kind), "jaccard-signed")
-    links = None
-    for turn in range(most_rounds):
-        candidates = _round(signed, range(turn * runs, (turn + 1) * runs), threshold, limit, depth)
-        new = _verified(candidates, sets, threshold)
-        if links is not None:
-            new = new.unionByName(links).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
-        links = written(new, "jaccard-links")
-        seen = links.agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("hits") == 1).alias("once"),
-            F.count_if(F.col("hits") == 2).alias("twice"),
-        ).first()
-        unseen = seen["once"] * max(seen["once"] - 1, 0) / (2 * (seen["twice"] + 1))
-        if seen["n"] >= recall * (seen["n"] + unseen):
-            break
-    return links.select("a", "b")
+    while True:
+        buckets = written(_paths(signed, runs, threshold, limit).distinct(), "jaccard-buckets")
+        lists = buckets.groupBy("id").agg(F.collect_set("key").alias("buckets"))
+        held = written(signed.select("id", "sketch").join(lists, "id"), "jaccard-held")
+        cells = tiles(buckets.join(held, "id"), limit)
+        need = written(cells.mapInArrow(_needed(threshold), cells.schema), "jaccard-need")
+        links = written(
+            together(need.join(sets, "id")).mapInArrow(_verify(threshold), FOUND), "jaccard-links"
+        )
+        seen = links.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"), F.sum("links").alias("n")).first()
+        once, twice = seen["once"] or 0, seen["twice"] or 0
+        unseen = once * max(once - 1, 0) / (2 * (twice + 1))
+        if (seen["n"] or 0) / 2 * (1 - recall) >= unseen * recall or runs >= COORDINATES:
+            return links
+        runs = min(2 * runs, COORDINATES)
 
 
 def similar_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, **search) -> DataFrame:
@@ -175,17 +196,17 @@ def similar_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, **se
     marked = marked.withColumn("id", F.coalesce(name, F.concat(F.lit("row-"), F.col("row_"))))
     marked = written(marked, "jaccard-docs")
     # Equal sets have equal names, so any one of them stands for the class.
-    sets = marked.where(F.size("grams") > 0).groupBy("id").agg(F.any_value("grams").alias("grams"))
+    sets = marked.where(F.size("grams") > 0).groupBy("id").agg(
+        F.count(F.lit(1)).alias("copies"), F.any_value("grams").alias("grams")
+    )
     sets = written(sets, "jaccard-sets")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_")
     classes = written(
         marked.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first")), "jaccard-classes"
     )
-    links = written(class_links(sets, threshold, **search), "jaccard-found")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reach = ends.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id"))
-    reach = reach.agg(F.sum("copies").alias("linked"))
-    parts = components(links, "jaccard-components")
+    links = class_links(sets, threshold, **search)
+    reach = links.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("linked"))
+    parts = components(links.where("b IS NOT NULL").select("a", "b"), "jaccard-components")
     whole = (
         classes.join(parts, "id", "left").join(reach, "id", "left")
         .withColumn("root", F.coalesce("root", "id"))
