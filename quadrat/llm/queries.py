@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import jaccard, language, mixing, packing, toxicity
-from quadrat.llm.common import crc_fold, table
+from quadrat.llm import jaccard, language, mixing, packing, toxicity, vectors, warc
+from quadrat.llm.common import crc_fold, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,28 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page through an archive: payload size and digest, response or revisit."""
+    place = warc.archive_folder(spark)
+    files = warc.write(table(spark, folder, "pages"), place)
+    found = warc.read(files, place).select(
+        "record_id", "kind", "refers_to", "page_id", "digest", "payload_bytes"
+    )
+    found = written(found, "warc-records")
+    first = found.where("kind = 'response'").select(
+        F.col("record_id").alias("refers_to"),
+        F.col("page_id").alias("first_page"),
+        F.col("payload_bytes").alias("first_bytes"),
+    )
+    return found.join(first, "refers_to", "left").select(
+        "page_id",
+        F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("first_page").alias("refers_to"),
+    )
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces of sequences of 4096 tokens."""
     return packing.pack(table(spark, folder, "documents"), vocabulary())
@@ -33,6 +55,11 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector, cosine 0.95."""
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; labels of four of five id folds are learned."""
     held_out = crc_fold("doc_id", 5) == 0
@@ -60,8 +87,10 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_warc": op1_warc,
         "op2_packing": op2_packing,
         "op4_mixing": op4_mixing,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_toxicity": op7_toxicity,
         "op9_language_id": op9_language_id,
         "op10_jaccard_join": op10_jaccard_join,
