@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat, jaccard, language, mixing, neighbours, packing, toxicity, vectors, warc
+from quadrat.llm import (
+    chat, jaccard, language, licences, mixing, neighbours, packing, toxicity, vectors, warc,
+)
 from quadrat.llm.common import crc_fold, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +51,13 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary())
 
 
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence families of every document, with the best probability."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = licences.scan(docs, *licences.train(docs))
+    return found.select("doc_id", F.concat_ws(",", "licences").alias("licences"), "n_hits", "score")
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What a mix of 150 % of all words takes of each document, at most twice its size."""
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"), WEIGHTS)
@@ -102,6 +111,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
         "op2_packing": op2_packing,
+        "op3_licences": op3_licences,
         "op4_mixing": op4_mixing,
         "op5_neighbours": op5_neighbours,
         "op6_embedding_dedup": op6_embedding_dedup,
