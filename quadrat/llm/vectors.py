@@ -133,7 +133,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, recall: floa
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     size = rows.where(usable()).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = size["d"] if size else 0
+    dimension = size["d"] if size else 1
     fine = usable() & (F.size("embedding") == dimension)
     # Adding 0.0 makes -0.0 equal to 0.0.
     same = F.when(fine, F.md5(F.concat_ws(",", F.transform("embedding", lambda x: (x + 0.0).cast("string")))))
