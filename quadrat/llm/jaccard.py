@@ -18,10 +18,12 @@ columns pass through; input columns named like a result column are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,32 +49,36 @@ def with_shingles(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Min-hash coordinates, and one bit of further ones, of each non-empty set."""
+    """Name, min-hash coordinates, and one bit of further ones, of each non-empty set."""
     draw = np.random.default_rng(20240607)
     total = COORDINATES + 64 * SKETCH_WORDS
     mask = draw.integers(0, 1 << 63, total, dtype=np.uint64)
     odd = draw.integers(0, 1 << 63, total, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for whole in batches:
+        whole = whole.filter(pc.greater(pc.list_value_length(whole.column("grams")), 0))
         for start in range(0, whole.num_rows, 512):
             batch = whole.slice(start, 512)
             lists = batch.column("grams")
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            at = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            at = ends - lengths
             least = np.empty((len(lengths), total), dtype=np.uint64)
             for i in range(total):
                 least[:, i] = np.minimum.reduceat((flat ^ mask[i]) * odd[i], at)
             coordinates = (least[:, :COORDINATES] >> np.uint64(8)).astype(np.uint32).view(np.int32)
             bits = ((least[:, COORDINATES:] >> np.uint64(17)) & np.uint64(1)).astype(np.uint8)
             packed = np.packbits(bits, axis=1).view(np.int64)
-            ends = np.arange(len(lengths) + 1)
+            names = [hashlib.md5(flat[x:y].tobytes()).hexdigest() for x, y in zip(at.tolist(), ends.tolist())]
+            rows = np.arange(len(lengths) + 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
-                    pa.ListArray.from_arrays(pa.array(ends * COORDINATES, pa.int32()), pa.array(coordinates.ravel())),
-                    pa.ListArray.from_arrays(pa.array(ends * SKETCH_WORDS, pa.int32()), pa.array(packed.ravel())),
+                    batch.column("row_"),
+                    pa.array(names, pa.string()),
+                    pa.ListArray.from_arrays(pa.array(rows * COORDINATES, pa.int32()), pa.array(coordinates.ravel())),
+                    pa.ListArray.from_arrays(pa.array(rows * SKETCH_WORDS, pa.int32()), pa.array(packed.ravel())),
                 ],
-                names=["id", "path", "sketch"],
+                names=["row_", "id", "path", "sketch"],
             )
 
 
@@ -156,21 +162,22 @@ def _verify(threshold: float):
 
 
 def class_links(
-    sets: DataFrame, threshold: float = 0.8, *, recall: float = 0.999, limit: int = 256, runs: int = 8,
+    signed: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float = 0.8,
+    *, recall: float = 0.999, limit: int = 256, runs: int = 8,
 ) -> DataFrame:
-    """Links between classes, as ``tally`` gives them; ``sets``: id, copies, grams (not empty).
+    """Links between classes, as ``tally`` gives them; ``signed``: id, copies, path, sketch.
 
     A pair is handled in the first of the buckets that both members share.  Pairs first meet as
-    sketches; shingles travel only for members of a cell that have a candidate there.
+    sketches; shingles are made, by ``grams_of``, only for ids that have a candidate, and travel
+    only to the cells where they have one.
     """
-    kind = "id string, path array<int>, sketch array<bigint>"
-    signed = written(sets.select("id", "grams").mapInArrow(_sketches, kind), "jaccard-signed")
     while True:
         buckets = written(_paths(signed, runs, threshold, limit).distinct(), "jaccard-buckets")
         lists = buckets.groupBy("id").agg(F.collect_set("key").alias("buckets"))
-        held = written(signed.select("id", "sketch").join(lists, "id"), "jaccard-held")
+        held = written(signed.select("id", "copies", "sketch").join(lists, "id"), "jaccard-held")
         cells = tiles(buckets.join(held, "id"), limit)
         need = written(cells.mapInArrow(_needed(threshold), cells.schema), "jaccard-need")
+        sets = written(grams_of(need.select("id").distinct()), "jaccard-sets")
         links = written(
             together(need.join(sets, "id")).mapInArrow(_verify(threshold), FOUND), "jaccard-links"
         )
@@ -190,21 +197,33 @@ def similar_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, **se
     stays if one row of every group does.
     """
     base = without(docs, *RESULT, "grams", "id", "row_", "words_")
-    marked = with_shingles(base.withColumn("row_", F.monotonically_increasing_id()), width)
-    # A text without words is a class of its own, named by its row.
-    name = F.when(F.size("grams") > 0, F.md5(F.concat_ws(",", F.transform("grams", lambda g: g.cast("string")))))
-    marked = marked.withColumn("id", F.coalesce(name, F.concat(F.lit("row-"), F.col("row_"))))
-    marked = written(marked, "jaccard-docs")
+    marked = written(base.withColumn("row_", F.monotonically_increasing_id()), "jaccard-docs")
+    kind = "row_ bigint, id string, path array<int>, sketch array<bigint>"
+    # Shingles go straight into sketches: they would fill more disk than the texts.
+    grams = with_shingles(marked.select("row_", "text"), width).select("row_", "grams")
+    named = written(grams.mapInArrow(_sketches, kind), "jaccard-named")
     # Equal sets have equal names, so any one of them stands for the class.
-    sets = marked.where(F.size("grams") > 0).groupBy("id").agg(
-        F.count(F.lit(1)).alias("copies"), F.any_value("grams").alias("grams")
+    signed = written(
+        named.groupBy("id").agg(
+            F.count(F.lit(1)).alias("copies"), F.min("row_").alias("row_"),
+            F.any_value("path").alias("path"), F.any_value("sketch").alias("sketch"),
+        ),
+        "jaccard-signed",
     )
-    sets = written(sets, "jaccard-sets")
+
+    def grams_of(ids: DataFrame) -> DataFrame:
+        rows = signed.select("id", "row_").join(ids, "id")
+        return with_shingles(marked.select("row_", "text").join(rows, "row_"), width).select("id", "grams")
+
+    # A text without words is a class of its own, named by its row.
+    name = F.coalesce("id", F.concat(F.lit("row-"), F.col("row_")))
+    every = marked.select("row_", "doc_id").join(named.select("row_", "id"), "row_", "left").withColumn("id", name)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_")
+    every = written(every, "jaccard-names")
     classes = written(
-        marked.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first")), "jaccard-classes"
+        every.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first")), "jaccard-classes"
     )
-    links = class_links(sets, threshold, **search)
+    links = class_links(signed, grams_of, threshold, **search)
     reach = links.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("linked"))
     parts = components(links.where("b IS NOT NULL").select("a", "b"), "jaccard-components")
     whole = (
@@ -214,10 +233,11 @@ def similar_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, **se
     heads = whole.groupBy("root").agg(F.min("first").alias("head"))
     whole = whole.join(heads, "root").select("id", "copies", "linked", "first", "head")
     n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
-    return marked.drop("grams").join(whole, "id").select(
-        *base.columns,
+    found = every.select("row_", "id").join(whole, "id").select(
+        "row_",
         F.col("head.doc_id").alias("class_id"),
         F.col("first.doc_id").alias("copy_id"),
         n_links.alias("n_links"),
         (F.col("row_") == F.col("head.row_")).alias("kept"),
     )
+    return marked.join(found, "row_").select(*[F.col(f"`{c}`") for c in base.columns], *RESULT)
