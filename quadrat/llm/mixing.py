@@ -119,4 +119,6 @@ def mix(
         taken.alias("taken"),
         position.alias("position"),
     )
-    return out.repartitionByRange(F.asc_nulls_last("position")).sortWithinPartitions(F.asc_nulls_last("position"), "doc_id")
+    # The id deals out the rows that the mix leaves, whose position is null.
+    order = F.asc_nulls_last("position"), F.asc("doc_id")
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
