@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrat.functions import probability as prob
+from quadrat.operators.joins import null_safe_join
 from quadrat.operators.ranking import order_codes
 from quadrat.session import materialise
 
@@ -26,8 +27,12 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
             F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias("r"),
         )
     )
+    # Rounding may push r past its limits; on a straight line t is infinite.
+    r = F.when(F.abs("r") >= 1, F.signum("r")).otherwise(F.col("r"))
+    sums = sums.withColumn("r", r)
     r, n = F.col("r"), F.col("n")
-    t = r * F.sqrt(F.try_divide(n - 2, 1 - r * r))
+    endless = F.signum(r) * F.lit(float("inf"))
+    t = F.when(F.abs(r) == 1, endless).otherwise(r * F.sqrt(F.try_divide(n - 2, 1 - r * r)))
     reach = F.when(n > 3, NORMAL_975 / F.sqrt(n - 3))
     fitted = sums.withColumns({"t": F.when(n > 2, t), "df": F.when(n > 2, n - 2)})
     return fitted.withColumns(
@@ -92,8 +97,7 @@ def _score(cells: DataFrame, by: list[str], bits: int, y_size: int, y_block: int
         )
         local = sum_before("zeros", W.partitionBy(*strand, "block").orderBy("yc"))
         counted = (
-            levels.withColumn("local", local)
-            .join(offsets, [*strand, "block"])
+            null_safe_join(levels.withColumn("local", local), offsets, [*strand, "block"], "left")
             .withColumn("below", F.col("earlier") + F.col("local"))
         )
     above = F.col("all_zeros") - F.col("below") - F.col("zeros")
@@ -151,7 +155,8 @@ def kendall(
     coded, x_size = order_codes(cells, "x", "xc")
     coded, y_size = order_codes(coded, "y", "yc")
     bits = max(1, (max(x_size, 1) - 1).bit_length())
-    sums = _ties(cells, keys).join(_score(coded, keys, bits, y_size, y_block), keys)
+    scores = _score(coded, keys, bits, y_size, y_block)
+    sums = null_safe_join(_ties(cells, keys), scores, keys, "left")
     n = F.col("n").cast("double")
     pairs = n * (n - 1)
     variance = (

@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MISSING = "\0missing"
+
+
 def _tile_minima(block: pd.DataFrame) -> pd.DataFrame:
     """For the tile's pairs, sum over the strip's taxa of the smaller abundance.
 
@@ -75,11 +78,11 @@ def bray_curtis(
     ``community`` is the long table, one row per site and taxon, abundance > 0;
     it is read more than once, so pass a materialised one.  ``tile`` and
     ``strip`` bound the sites and taxa one task sees; they set the cost, not the
-    result.  d = 1 - 2 * sum(min) / (total_i + total_j).
+    result.  d = 1 - 2 * sum(min) / (total_i + total_j).  A missing taxon is a taxon of its own.
     """
     rows = community.select(
         F.col(site).cast("string").alias("site"),
-        F.col(taxon).cast("string").alias("taxon"),
+        F.coalesce(F.col(taxon).cast("string"), F.lit(MISSING)).alias("taxon"),
         F.col(abundance).cast("double").alias("abundance"),
     )
     extent = rows.agg(

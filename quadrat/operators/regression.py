@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrat.functions import probability as prob
+from quadrat.operators.joins import null_safe_join
 
 _FIT = (
     "struct<estimates:array<double>,errors:array<double>,t_values:array<double>,"
@@ -44,7 +45,8 @@ def _solve(n: float, means: np.ndarray, cross: np.ndarray) -> dict | None:
         sigma2 = sse / df if df > 0 else np.nan
         errors = np.sqrt(sigma2 * unit)
         t_values = estimates / errors
-        partial = t_values**2 / (t_values**2 + df)
+        # An exact fit leaves nothing to a term but what it explains.
+        partial = np.where(np.isinf(t_values), 1.0, t_values**2 / (t_values**2 + df))
     partial[0] = np.nan
     return {
         "estimates": estimates,
@@ -91,6 +93,12 @@ def _fits(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]) -> DataFr
     return sums.where("n > 0").select(*by, "n", solve("n", "means", "cross").alias("fit"))
 
 
+def _f_ratio(gain: Column, error: Column) -> Column:
+    """Mean squares over their error: infinite for an exact fit, missing for 0 / 0."""
+    exact = (error == 0) & (gain > 0)
+    return F.when(exact, F.lit(float("inf"))).otherwise(F.try_divide(gain, error))
+
+
 def ols_coefficients(
     df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -140,7 +148,7 @@ def ols_fit(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()) ->
             F.nanvl(F.col("fit.sigma"), F.lit(None)).alias("sigma"),
             F.lit(k).alias("df_model"),
             df_within.alias("df_residual"),
-            F.try_divide((sst - sse) / k, F.try_divide(sse, df_within)).alias("f"),
+            _f_ratio((sst - sse) / k, F.try_divide(sse, df_within)).alias("f"),
         )
         .withColumn("p_value", prob.f_p_value("f", "df_model", "df_residual"))
     )
@@ -241,7 +249,7 @@ def interaction_anova(
     tested = F.col("position") < 4
     return (
         table.withColumn("ms", F.try_divide("ss", "df"))
-        .withColumn("f", F.when(tested, F.try_divide("ms", "error")))
+        .withColumn("f", F.when(tested, _f_ratio(F.col("ms"), F.col("error"))))
         .withColumn("p_value", prob.f_p_value("f", "df", "df_residual"))
         .select(*by, "position", "term", "df", "ss", "ms", "f", "p_value")
     )
@@ -253,7 +261,7 @@ def interaction_coefficients(
     """Coefficients of y ~ x * group against the ``reference`` level.
 
     The reference line gives the intercept and slope; every other group adds the
-    difference of its own line from it.
+    difference of its own line from it.  A fit without the reference level is an error.
     """
     lines = _group_lines(df, y, x, group, by)
     sums = _interaction_sums(lines, by)
@@ -268,7 +276,7 @@ def interaction_coefficients(
         (1 / F.col("n") + F.try_divide(F.col("mx") * F.col("mx"), F.col("sxx"))).alias("va"),
     )
     base = fitted.where(F.col("level") == reference).select(
-        *by, *[F.col(c).alias(f"{c}0") for c in ("a", "b", "va", "vb")]
+        *by, F.lit(True).alias("found"), *[F.col(c).alias(f"{c}0") for c in ("a", "b", "va", "vb")]
     )
     error = sums.select(
         *by, F.try_divide(F.col("sse_full"), residual_df).alias("error"), residual_df.alias("df")
@@ -289,9 +297,10 @@ def interaction_coefficients(
         )
 
     terms = F.array(term("(intercept)", group, "a", "va"), term(x, f"{x}:{group}", "b", "vb"))
+    lacking = F.raise_error(F.lit(f"no level {reference!r} of {group} to compare with"))
+    joined = null_safe_join(null_safe_join(fitted, base, one, "left"), error, one, "left")
     return (
-        fitted.join(base, one)
-        .join(error, one)
+        joined.withColumn("error", F.when(F.col("found"), F.col("error")).otherwise(lacking.cast("double")))
         .select(*by, "error", "df", F.inline(terms))
         .withColumn("std_error", F.sqrt(F.col("unit") * F.col("error")))
         .withColumn("t", F.try_divide("estimate", "std_error"))

@@ -34,19 +34,25 @@ def widen(
     name: str,
     value: str,
     values: Sequence[str] | None = None,
-    limit: int = 10_000,
+    limit: int | None = None,
 ) -> DataFrame:
     """One column per label, missing cells 0.
 
     The long form is the working form; this one is for output.  Without
-    ``values`` the labels are read first, and more than ``limit`` of them is an
-    error rather than a truncated table.  A repeated (id, label) is an error too.
+    ``values`` the labels are read first; each is a column of the plan, so a caller may
+    state a ``limit`` beyond which to raise.  A label that ``values`` lacks is an error
+    rather than a narrower table, and so is a repeated (id, label).
     """
     if values is None:
-        found = df.select(name).where(F.col(name).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(found) > limit:
+        labels = df.select(name).where(F.col(name).isNotNull()).distinct()
+        found = (labels if limit is None else labels.limit(limit + 1)).collect()
+        if limit is not None and len(found) > limit:
             raise ValueError(f"more than {limit} distinct values of {name}: keep the long form")
         values = sorted(row[0] for row in found)
+    else:
+        listed = F.col(name).isNull() | F.col(name).isin(list(values))
+        lacking = F.raise_error(F.concat(F.lit(f"{name} not listed: "), F.col(name).cast("string")))
+        df = df.withColumn(name, F.when(listed, F.col(name)).otherwise(lacking))
     cell = F.when(F.count(F.lit(1)) <= 1, F.first(value)).otherwise(
         F.raise_error(F.lit(f"repeated {name} within {', '.join(ids)}")).cast("double")
     )

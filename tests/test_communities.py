@@ -205,3 +205,9 @@ def test_nmds_stress_is_the_monotone_misfit(spark):
     h = np.array([fit[v] for v in d])
     expected = np.sqrt(((dist - h) ** 2).sum() / (dist**2).sum())
     assert trace.first()["stress"] == pytest.approx(expected)
+
+
+def test_missing_taxon_is_a_taxon_of_its_own(spark):
+    rows_ = [("r", None, 1.0), ("r", "t", 1.0), ("s", None, 1.0), ("s", "u", 1.0)]
+    df = spark.createDataFrame(rows_, "site string, taxon string, n double")
+    assert bray_curtis(df, "site", "taxon", "n").first()["d"] == 0.5

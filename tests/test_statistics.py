@@ -210,3 +210,29 @@ def test_trend_line_ignores_points_outside_the_limits(spark):
     df = spark.createDataFrame(rows, "x double, y double")
     line = trend_lines(df, "x", "y", x_limits=(0, 10), y_limits=(0, 100)).first()
     assert (line["slope"], line["intercept"], line["n"]) == (pytest.approx(2), pytest.approx(1), 5)
+
+
+def test_exact_lines_have_endless_statistics(spark):
+    df = spark.createDataFrame([(float(i), 4.0 * i, -2.0 * i) for i in range(9)], "x double, y double, z double")
+    for other, sign in (("y", 1.0), ("z", -1.0)):
+        got = pearson(df, "x", other).first()
+        assert got["r"] == sign and got["t"] == sign * math.inf and got["p_value"] == 0
+        assert got["conf_low"] == got["conf_high"] == sign
+    fit = ols_fit(df, "y", ["x"]).first()
+    assert fit["f"] == math.inf and fit["p_value"] == 0 and fit["r2"] == 1
+    slope = ols_coefficients(df, "y", ["x"]).where("term = 'x'").first()
+    assert slope["partial_r2"] == 1 and slope["p_value"] == 0
+
+
+def test_groups_with_a_missing_key_stay(spark):
+    values = [(k, g, float(i), float((7 * i) % 5)) for k in ("a", None) for g in ("p", "q") for i in range(6)]
+    df = spark.createDataFrame(values, "who string, g string, x double, y double")
+    for block in (4096, 2):
+        tau = {r["who"]: (r["n"], r["s"]) for r in kendall(df, "x", "y", ["who"], y_block=block).collect()}
+        assert set(tau) == {"a", None} and tau["a"] == tau[None]
+    terms = interaction_coefficients(df, "y", "x", "g", "p", ["who"]).collect()
+    assert sorted((r["who"] or "", r["term"]) for r in terms) == sorted(
+        (k, t) for k in ("a", "") for t in ("(intercept)", "x", "gq", "x:gq")
+    )
+    with pytest.raises(Exception, match="no level 'r'"):
+        interaction_coefficients(df, "y", "x", "g", "r", ["who"]).collect()

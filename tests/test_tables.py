@@ -62,6 +62,8 @@ def test_widen_fills_zero_and_refuses_duplicates(spark):
         widen(df.union(df), ["s"], "t", "v").collect()
     with pytest.raises(ValueError, match="more than 1"):
         widen(df, ["s"], "t", "v", limit=1)
+    with pytest.raises(Exception, match="t not listed: t2"):
+        widen(df, ["s"], "t", "v", ["t1"]).collect()
 
 
 def test_mean_se(spark):
