@@ -6,8 +6,11 @@ random orders (a sampled token of the set), so classes with Jaccard similarity s
 probability s.  Buckets above a limit are split again by 1 / threshold sampled tokens on
 average, until they are small or keep half of their parent, which means they are alike; their
 pairs are compared by brute force, in cells of bounded size.  Candidates pass a one-bit sketch,
-five deviations wide, and are verified on whole sets.  If the share of links found, estimated
-from those that one run and two runs saw (Chao), misses the target, the runs are doubled.
+five deviations wide, and are verified on whole sets.  The pairs of classes not seen are estimated
+from those that one run and two runs saw (Chao); several buckets of one run count once.  They
+are set against half the linked classes, not against links: a class counts once however many
+copies or neighbours it has, so no large group makes up for pairs missed elsewhere.  While they
+miss the target, the runs are doubled; past ``MOST_RUNS`` that is an error.
 
 Words are runs of non-space characters, lower-cased.  Defined results: a text with one to four
 words has one shingle, all its words; null, empty and blank texts link with nothing and are
@@ -32,6 +35,9 @@ from quadrat.llm.grouping import FOUND, chunks, components, meetings, tally, til
 
 COORDINATES = 64
 SKETCH_WORDS = 4
+# The low bits of a bucket's key hold its run.
+RUN_BITS = 10
+MOST_RUNS = 256
 RESULT = ("class_id", "copy_id", "n_links", "kept")
 
 
@@ -82,10 +88,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _key(run: Column, *parts: Column) -> Column:
+    return F.shiftleft(F.shiftright(F.xxhash64(*parts), RUN_BITS), RUN_BITS).bitwiseOR(run)
+
+
 def _paths(signed: DataFrame, runs: int, threshold: float, limit: int) -> DataFrame:
     """Final buckets of all runs: key, id, n (size of the bucket, at least 2)."""
     first = F.array(*[
-        F.xxhash64(F.lit(r), F.get("path", F.lit(r % COORDINATES))) for r in range(runs)
+        _key(F.lit(r).cast("long"), F.lit(r), F.get("path", F.lit(r % COORDINATES))) for r in range(runs)
     ])
     rows = signed.select("id", F.explode(first).alias("key"), F.lit(None).cast("long").alias("parent"))
     done = None
@@ -102,7 +112,8 @@ def _paths(signed: DataFrame, runs: int, threshold: float, limit: int) -> DataFr
 
         def child(salt: str) -> Column:
             pick = F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(COORDINATES)).cast("int")
-            return F.xxhash64("key", pick, F.get("path", pick))
+            run = F.col("key").bitwiseAND(F.lit((1 << RUN_BITS) - 1).cast("long"))
+            return _key(run, F.col("key"), pick, F.get("path", pick))
 
         # A node samples one token, and a second one so often that 1 / threshold is the mean.
         second = F.pmod(F.xxhash64("key", F.lit("more")), F.lit(1000)) < round(1000 * (1 / threshold - 1))
@@ -113,7 +124,10 @@ def _paths(signed: DataFrame, runs: int, threshold: float, limit: int) -> DataFr
 
 
 def _candidates(table: pa.Table, cell: np.ndarray, side: np.ndarray, threshold: float):
-    """Pairs of a chunk whose sketches agree and whose first common bucket is this one, and hits."""
+    """Pairs of a chunk whose sketches agree and whose first common bucket is this one, and hits.
+
+    ``hits``: the runs in which the pair shares a bucket.
+    """
     n = table.num_rows
     bits = 64 * SKETCH_WORDS
     p = (1 + threshold) / 2
@@ -129,7 +143,7 @@ def _candidates(table: pa.Table, cell: np.ndarray, side: np.ndarray, threshold:
             if min(both) == key[a]:
                 left.append(a)
                 right.append(b)
-                hits.append(len(both))
+                hits.append(len({k & ((1 << RUN_BITS) - 1) for k in both}))
     return np.array(left, np.int64), np.array(right, np.int64), np.array(hits, np.int64)
 
 
@@ -181,12 +195,15 @@ def class_links(
         links = written(
             together(need.join(sets, "id")).mapInArrow(_verify(threshold), FOUND), "jaccard-links"
         )
-        seen = links.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"), F.sum("links").alias("n")).first()
+        each = links.where("b IS NULL").groupBy("a").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"))
+        seen = each.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"), F.count(F.lit(1)).alias("n")).first()
         once, twice = seen["once"] or 0, seen["twice"] or 0
         unseen = once * max(once - 1, 0) / (2 * (twice + 1))
-        if (seen["n"] or 0) / 2 * (1 - recall) >= unseen * recall or runs >= COORDINATES:
+        if seen["n"] / 2 * (1 - recall) >= unseen * recall:
             return links
-        runs = min(2 * runs, COORDINATES)
+        if runs >= MOST_RUNS:
+            raise RuntimeError(f"{runs} runs miss about {unseen:.3g} pairs of {seen['n']} linked classes")
+        runs = min(2 * runs, MOST_RUNS)
 
 
 def similar_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, **search) -> DataFrame:

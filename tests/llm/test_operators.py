@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,32 @@ def test_jaccard_join_equals_brute_force(spark, limit):
     assert {tuple(sorted(v)): k for k, v in made.items()} == heads
 
 
+def test_copies_of_one_text_do_not_hide_missed_pairs(spark):
+    rng = random.Random(12)
+    crowd = words(rng, 200)
+    texts = [" ".join(crowd)] * 1000
+    for i in range(30):
+        texts.append(" ".join([*crowd[: 5 * i], f"x{i}", *crowd[5 * i + 1 :]]))
+    copied = len(texts)
+    for _ in range(300):
+        base = words(rng, 104)
+        # 10 of 100 shingles differ: 90 of 110.
+        texts += [" ".join(base), " ".join([*base[:30], "zz", *base[31:70], "zz", *base[71:]])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.similar_groups(docs, runs=2).collect()}
+    assert [got[i] for i in range(copied, len(texts))] == [1] * 600
+
+
+def test_a_run_counts_once_however_many_buckets_a_pair_shares():
+    keys = [(7 << jaccard.RUN_BITS) | 3, (9 << jaccard.RUN_BITS) | 3, (11 << jaccard.RUN_BITS) | 4]
+    table = pa.table({
+        "key": pa.array([keys[0]] * 2), "buckets": pa.array([keys] * 2),
+        "sketch": pa.array([[0] * jaccard.SKETCH_WORDS] * 2, pa.list_(pa.int64())),
+    })
+    _, _, hits = jaccard._candidates(table, np.zeros(2, dtype=int), np.array([-1, -2]), 0.8)
+    assert hits.tolist() == [2]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(7, i) for i in range(200, 260)]
