@@ -42,12 +42,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Repeat or drop documents as the mix takes them; rows are in training order.
 
-    A document of which the mix takes more than its size appears again; one that is cut by the
-    end of its source's target appears whole, so that no text is truncated.
+    A document of which the mix takes more than its size appears again, at the moment of that
+    pass; one that is cut by the end of its source's target appears whole, so that no text is
+    truncated.
     """
-    mixed = mixing.mix(docs, queries.WEIGHTS)
-    times = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return mixing.training_order(docs, queries.WEIGHTS).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

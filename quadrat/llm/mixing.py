@@ -5,11 +5,13 @@ of the mix at a moment is its weight over the sum of all; the integral of the sh
 demand.  Targets follow from the total demand, limited to a number of passes over the source,
 the excess going to the others by weight.  Documents of a source stand in a fixed random order;
 the running word count of a document, put through the inverse of the demand curve, gives the
-moment at which training meets it.  Everything is DataFrame code; running counts are taken
+moment at which training meets it.  A further pass goes on counting from the words of the
+passes before it, so every pass over a document has a moment of its own.  Everything is DataFrame code; running counts are taken
 over hash buckets first and inside buckets after, so that no window holds a whole source.
 
 Defined results: sources in code-point order, null last, take the schedules in turn.  A null or
-wordless text has size 0 and takes nothing; its position is that of its neighbours.  Repeated
+wordless text has size 0 and takes nothing; its position is that of its neighbours, but it has
+no passes.  Repeated
 rows count separately.  Without any word all targets are 0 and positions null.  Other columns
 pass through; input columns named like a result column are replaced.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from quadrat.llm.common import without, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-RESULT = ("size", "source_size", "target", "taken", "position")
+RESULT = ("size", "source_size", "target", "taken", "position", "positions")
 
 
 def words(text: Column) -> Column:
@@ -72,15 +74,10 @@ def demand(sizes: DataFrame, schedules: list[list[float]], share: float, passes:
     return shares.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"), curve.alias("curve"))
 
 
-def mix(
+def _planned(
     docs: DataFrame, schedules: list[list[float]], share: float = 1.5, passes: float = 2.0,
     steps: int = 64, bucket_rows: int = 4096,
 ) -> DataFrame:
-    """Add size, source_size, target, taken and position (0 to 1), sorted by position.
-
-    ``taken`` counts words with repeats; a document is taken in whole passes plus, for the
-    last one, the words up to the target.
-    """
     base = without(docs, *RESULT, "row_", "dice_", "bucket_")
     rows = base.withColumn("size", words(F.col("text")))
     rows = rows.withColumn("dice_", F.xxhash64("doc_id", "text", F.lit("order")))
@@ -104,21 +101,44 @@ def mix(
     rest = goal - whole * source_size
     part = F.least(F.greatest(rest - start, F.lit(0)), size)
     taken = F.coalesce(whole * size + part, F.lit(0)).cast("bigint")
-    # Inverse of the demand curve, linear between two moments.
-    due = start / F.nullif(target, F.lit(0.0))
-    at = F.aggregate("p.curve", F.lit(0), lambda n, c: n + F.when(c <= due, 1).otherwise(0))
-    low = F.when(at > 0, F.get("p.curve", at - 1)).otherwise(0.0)
-    high = F.coalesce(F.get("p.curve", at), F.lit(1.0))
-    inner = F.coalesce((due - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
-    position = F.when(due.isNotNull() & (due < 1), F.least((at + inner) / steps, F.lit(1.0)))
-    out = joined.select(
+
+    def moment(words_before: Column) -> Column:
+        """Inverse of the demand curve, linear between two moments."""
+        due = words_before / F.nullif(target, F.lit(0.0))
+        at = F.aggregate("p.curve", F.lit(0), lambda n, c: n + F.when(c <= due, 1).otherwise(0))
+        low = F.when(at > 0, F.get("p.curve", at - 1)).otherwise(0.0)
+        high = F.coalesce(F.get("p.curve", at), F.lit(1.0))
+        inner = F.coalesce((due - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+        return F.when(due.isNotNull() & (due < 1), F.least((at + inner) / steps, F.lit(1.0)))
+
+    times = F.ceil(taken / F.nullif(size, F.lit(0))).cast("int")
+    every = F.transform(F.sequence(F.lit(0), times - 1), lambda n: moment(start + n * source_size))
+    return joined.select(
         *[F.col(f"r.`{c}`") for c in base.columns],
         F.col("r.size").alias("size"),
         F.col("p.source_size").alias("source_size"),
         F.col("p.target").alias("target"),
         taken.alias("taken"),
-        position.alias("position"),
+        moment(start).alias("position"),
+        F.when(taken > 0, every).otherwise(F.array().cast("array<double>")).alias("positions"),
     )
+
+
+def mix(docs: DataFrame, schedules: list[list[float]], **plan) -> DataFrame:
+    """Add size, source_size, target, taken, position (0 to 1) and positions, sorted by position.
+
+    ``taken`` counts words with repeats; a document is taken in whole passes plus, for the
+    last one, the words up to the target.  ``positions`` has the moment of each of these
+    passes, ``position`` that of the first.
+    """
+    out = _planned(docs, schedules, **plan)
     # The id deals out the rows that the mix leaves, whose position is null.
     order = F.asc_nulls_last("position"), F.asc("doc_id")
     return out.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def training_order(docs: DataFrame, schedules: list[list[float]], **plan) -> DataFrame:
+    """What ``mix`` adds, with a row for each pass over a document; sorted by its ``position``."""
+    every = _planned(docs, schedules, **plan)
+    out = every.withColumn("position", F.explode("positions"))
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -61,7 +61,7 @@ def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What a mix of 150 % of all words takes of each document, at most twice its size."""
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"), WEIGHTS)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quadrat.llm import chat, jaccard, licences, mixing, neighbours, packing, queries, toxicity, vectors, warc
 from quadrat.llm.grouping import components
 
@@ -158,6 +159,24 @@ def test_curriculum_moves_late_sources_back(spark):
     assert abs(mean["s0"] - 1 / 3) < 0.03 and abs(mean["s1"] - 2 / 3) < 0.03
 
 
+def test_every_pass_has_its_own_moment(spark):
+    rows = [(i, "w " * (5 + i % 7), "en", f"s{i % 3}", 1) for i in range(600)] + [(900, "", "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    met = []
+    for r in mixing.mix(docs, queries.WEIGHTS, bucket_rows=64).collect():
+        assert len(r["positions"]) == (-(-r["taken"] // r["size"]) if r["size"] else 0)
+        assert r["positions"] == sorted(set(r["positions"])) and all(0 <= x <= 1 for x in r["positions"])
+        assert not r["positions"] or r["positions"][0] == r["position"]
+        met += [(x, r["doc_id"], r["source"], r["size"], r["target"]) for x in r["positions"]]
+    # The weights are constant, so at any moment every source has met that share of its target.
+    for moment in (0.25, 0.5, 0.75, 0.95):
+        for source in ("s0", "s1", "s2"):
+            target = next(t for _, _, s, _, t in met if s == source)
+            assert abs(sum(n for x, _, s, n, _ in met if s == source and x < moment) / target - moment) < 0.02
+    order = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    assert order == [doc for _, doc, *_ in sorted(met)]
+
+
 def test_fill_finds_the_best_subset():
     rng = random.Random(3)
     for _ in range(200):
