@@ -31,7 +31,7 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.read(files, place).select(
         "record_id", "kind", "refers_to", "page_id", "digest", "payload_bytes"
     )
-    found = written(found, "warc-records")
+    found = warc.whole(written(found, "warc-records"), files)
     first = found.where("kind = 'response'").select(
         F.col("record_id").alias("refers_to"),
         F.col("page_id").alias("first_page"),

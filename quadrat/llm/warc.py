@@ -6,13 +6,14 @@ written under a name of their own per attempt and renamed when complete, so a re
 leaves no second copy: its file has the same final name.
 
 The reader cuts files into byte ranges.  A task scans its range for the gzip magic, checks each
-candidate by decoding a WARC header behind it, and owns the records that start inside the
-range, reading past its end for the last one.
+candidate by decoding a WARC header behind it, however long, and owns the records that start
+inside the range, reading past its end for the last one.
 
 Defined results: a null payload is empty; an id may repeat, then the larger row of the written
 table counts as the later; extra columns are ignored.  An empty table writes no file and reads
 as no rows.  Payloads are decoded and checked whole; a record whose digest does not match ends
-the query with an error.
+the query with an error, as does a header cut short or a number of records read that differs
+from the number written.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def _write(folder: str):
         part = TaskContext.get().partitionId()
         final = f"{path}/part-{part:06d}.warc.gz"
         own = f"{path}/.attempt-{part:06d}-{uuid.uuid4().hex}"
-        out, size = None, 0
+        out, size, count = None, 0, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
@@ -86,16 +87,19 @@ def _write(folder: str):
                 data = member(headers, block)
                 out.write(data)
                 size += len(data)
+                count += 1
         if out is not None:
             out.close()
             system.move(own, final)
-            yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([size])], names=["path", "length"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([final]), pa.array([size]), pa.array([count])], names=["path", "length", "records"]
+            )
 
     return run
 
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) to ``folder``; returns path and length per file.
+    """Write ``pages`` (page_id, url, html) to ``folder``; returns path, length and records per file.
 
     Records share a payload only from ``least`` bytes on.
     """
@@ -110,17 +114,31 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     pafs_folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     system, path = pafs.FileSystem.from_uri(pafs_folder)
     system.create_dir(path, recursive=True)
-    return written(joined.mapInArrow(_write(pafs_folder), "path string, length bigint"), "warc-files")
+    return written(joined.mapInArrow(_write(pafs_folder), "path string, length bigint, records bigint"), "warc-files")
 
 
-def header_of(data: bytes) -> dict[str, str] | None:
-    """Fields of the WARC header that ``data``, the start of a gzip member, decodes to."""
-    coder = zlib.decompressobj(31)
-    try:
-        text = coder.decompress(data, 1 << 16)
-    except zlib.error:
-        return None
-    return parsed(text)[0] if text.startswith(b"WARC/1.") and b"\r\n\r\n" in text else None
+def header_of(source, at: int, step: int = 1 << 16) -> dict[str, str] | None:
+    """Fields of the WARC header that the gzip member at byte ``at`` begins with, if it does."""
+    coder, text, start = zlib.decompressobj(31), bytearray(), b"WARC/1."
+    source.seek(at)
+    while True:
+        data = coder.unconsumed_tail or source.read(step)
+        try:
+            piece = coder.decompress(data, step)
+        except zlib.error as error:
+            if len(text) >= len(start):
+                raise ValueError(f"record at byte {at} is damaged") from error
+            return None
+        seen = max(len(text) - 3, 0)
+        text += piece
+        if not text.startswith(start[: len(text)]):
+            return None
+        if text.find(b"\r\n\r\n", seen) >= 0:
+            return parsed(bytes(text))[0]
+        if coder.eof or not (data or piece):
+            if len(text) >= len(start):
+                raise ValueError(f"header of the record at byte {at} is cut short")
+            return None
 
 
 def parsed(record: bytes) -> tuple[dict[str, str], int]:
@@ -143,8 +161,7 @@ def records(source, size: int, start: int, end: int, step: int = 1 << 18) -> Ite
         at += found
         if at >= end:
             return
-        source.seek(at)
-        if header_of(source.read(min(1 << 16, size - at))) is None:
+        if header_of(source, at) is None:
             at += 1
             continue
         coder, pieces, position = zlib.decompressobj(31), [], at
@@ -215,3 +232,11 @@ def read(files: DataFrame, folder: str, split: int = 8 << 20) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+
+
+def whole(found: DataFrame, files: DataFrame) -> DataFrame:
+    """``found``, the records read from ``files``, if they are as many as were written."""
+    read_, wrote = found.count(), files.agg(F.sum("records").alias("n")).first()["n"] or 0
+    if read_ != wrote:
+        raise ValueError(f"{wrote} records were written, {read_} were read")
+    return found

@@ -231,6 +231,21 @@ def test_archive_round_trip_over_small_splits(spark):
     assert got[1]["digest"] == base64.b32encode(hashlib.sha1(b"same").digest()).decode()
 
 
+def test_archive_keeps_records_with_long_headers(spark):
+    rng = random.Random(6)
+    long = "http://c/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300_000))
+    rows = [(1, "http://a/" + "a" * 100_000, "same"), (2, "http://b/" + "b" * 70_000, "same"), (3, long, "other")]
+    place = warc.archive_folder(spark)
+    files = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), place)
+    found = warc.read(files, place, split=7777)
+    got = {r["page_id"]: r for r in found.collect()}
+    assert {k: r["url"] for k, r in got.items()} == {k: url for k, url, _ in rows}
+    assert got[1]["refers_to"] == got[2]["record_id"] and bytes(got[3]["payload"]) == b"other"
+    assert warc.whole(found, files).count() == 3
+    with pytest.raises(ValueError, match="3 records were written, 2 were read"):
+        warc.whole(found.where("page_id < 3"), files)
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 32))
