@@ -317,6 +317,23 @@ def test_licences_and_plain_text(spark):
     assert all(not v for k, v in got.items() if k not in (100, 101))
 
 
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(10)
+    plain = [(i, " ".join(words(rng, 60)) + ".", "en", "s", 0) for i in range(60)]
+    wrapped = {
+        100: ("# tool\n#\n# licensed under the Apache License,\n# Version 2.0\n#\nimport os", ["apache"], 1),
+        101: (" * licensed under a Creative Commons\r\n * Attribution 4.0 International License\r\n", ["cc-by"], 1),
+        102: ("Released under the MIT License\nlicensed under CC BY 4.0\nReleased under the MIT License", ["cc-by", "mit"], 3),
+        103: ("// licensed\n// under\n// the Apache\n// License, Version\n// 2.0\nint x", ["apache"], 1),
+        104: ("licensed under the Apache\n\nLicense, Version 2.0", [], 0),
+    }
+    held = [(i, text, "en", "s", 0) for i, (text, _, _) in wrapped.items()]
+    docs = spark.createDataFrame(plain + held, DOCS)
+    got = {r["doc_id"]: (r["licences"], r["n_hits"]) for r in licences.scan(docs, *licences.train(docs)).collect()}
+    assert {i: got[i] for i in wrapped} == {i: (names, n) for i, (_, names, n) in wrapped.items()}
+    assert not any(got[i][0] for i in range(60))
+
+
 def test_toxicity_learns_planted_words(spark):
     rng = random.Random(8)
     rows, labels = [], []
