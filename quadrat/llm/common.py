@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.session import materialise
+from quadrat.session import materialise, shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends here."""
-    return materialise(df, label)
+    if codec is None:
+        return materialise(df, label)
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_fold(column: str, folds: int):
@@ -68,3 +73,31 @@ def worker_copy(key: str, make: Callable[[], object]):
         _copies.clear()
         _copies[key] = make()
     return _copies[key]
+
+
+class ChunkStore:
+    """Ids of text chunks as bytes, kept for as long as they fit in ``most_bytes``.
+
+    For tokenizers that always cut between chunks, so that the ids of a text are those of its
+    chunks one after another.  ``encode`` gives the bytes of a list of chunks.
+    """
+
+    #: About what a dictionary entry and its two objects take besides their contents.
+    ENTRY = 200
+
+    def __init__(self, encode: Callable[[list], list[bytes]], most_bytes: int = 64 << 20):
+        self.encode, self.most, self.size = encode, most_bytes, 0
+        self.held: dict[object, bytes] = {}
+
+    def learn(self, texts: Iterable[list]) -> None:
+        """Have the ids of every chunk of ``texts``, until the next call."""
+        if self.size > self.most:
+            self.held, self.size = {}, 0
+        new = list({c for chunks in texts for c in chunks} - self.held.keys())
+        if new:
+            ids = self.encode(new)
+            self.held.update(zip(new, ids))
+            self.size += sum(map(len, new)) + sum(map(len, ids)) + self.ENTRY * len(new)
+
+    def ids(self, chunks: list) -> bytes:
+        return b"".join(map(self.held.__getitem__, chunks))

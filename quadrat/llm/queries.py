@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm import (
-    chat, jaccard, language, licences, mixing, neighbours, packing, toxicity, vectors, warc,
+    alignment, centroids, chat, jaccard, language, licences, line_quality, mixing, neighbours, packing,
+    toxicity, vectors, warc,
 )
 from quadrat.llm.common import crc_fold, table, written
 
@@ -18,10 +20,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 WEIGHTS = [[3.0, 3.0], [1.0, 1.0], [2.0, 2.0]]
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,6 +109,74 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(docs).drop("text")
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector after ten rounds with eight centroids."""
+    found = centroids.cluster(table(spark, folder, "embeddings"))
+    sums = found.vectors.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("n")).collect()
+    total = sum(int(row["n"]) for row in sums)
+    ends = [
+        (row["cluster"], int(row["n"]), hashlib.sha256(",".join(map(str, found.centroids[row["cluster"]])).encode()).hexdigest())
+        for row in sums
+    ]
+    # At most as many rows as there are centroids.
+    clusters = spark.createDataFrame(ends, "cluster int, cluster_inertia bigint, centroid_sha256 string")
+    return found.vectors.join(F.broadcast(clusters), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", F.lit(total).cast("bigint").alias("inertia"), "centroid_sha256"
+    )
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of every document under a byte-level and a piece vocabulary."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found, _ = alignment.align(documents, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
+def op13_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document from its lines; labels of three of four id folds are learned."""
+    documents = table(spark, folder, "documents")
+    held_out = crc_fold("doc_id", 4) == 2
+    model = line_quality.fit(documents, table(spark, folder, "labels"), ~held_out)
+    scored = line_quality.score(documents.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select(
+        "doc_id", "held_out", F.col("quality").alias("score"), F.col("is_good").alias("predicted"),
+        F.size("bad_lines").alias("n_bad_lines"),
+    )
+
+
+def _centroid_sql(k: int = 8, rounds: int = 10) -> str:
+    """The same rounds as plain sums over all vectors and centroids."""
+    steps = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, "
+        "lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, p) - 1 AS k, p FROM (SELECT sha256('3:' || vec_id) AS h, p "
+        f"FROM kept ORDER BY h, p LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"a{n} AS MATERIALIZED (SELECT r, min({{'d': d, 'k': k}}) AS near FROM (SELECT r, k, list_sum(list_transform("
+            f"list_zip(kept.p, c{n}.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM kept, c{n}) GROUP BY r)"
+        )
+        if n < rounds:
+            steps.append(
+                f"s{n} AS MATERIALIZED (SELECT k, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS p FROM (SELECT near.k AS k, i, "
+                f"CAST(sum(x) AS DOUBLE) AS s, count(*) AS n FROM (SELECT near, unnest(p) AS x, generate_subscripts(p, 1) AS i "
+                f"FROM a{n} JOIN kept USING (r)) GROUP BY near.k, i) GROUP BY k)"
+            )
+            steps.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT k, coalesce(s{n}.p, c{n}.p) AS p FROM c{n} LEFT JOIN s{n} USING (k))"
+            )
+    last = f"a{rounds}"
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, CAST(near.k AS INTEGER) AS cluster, CAST(near.d AS BIGINT) AS distance, "
+        f"CAST(sum(near.d) OVER (PARTITION BY near.k) AS BIGINT) AS cluster_inertia, CAST(sum(near.d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(c{rounds}.p, ',')) AS centroid_sha256 "
+        f"FROM {last} JOIN kept USING (r) JOIN c{rounds} ON c{rounds}.k = near.k"
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
@@ -119,8 +189,11 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": op8_chat_format,
         "op9_language_id": op9_language_id,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_centroids": op11_centroids,
+        "op12_alignment": op12_alignment,
+        "op13_line_quality": op13_line_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_centroids": _centroid_sql()}
