@@ -22,6 +22,7 @@ of their own.  No rows in, no rows out.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -33,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import ChunkStore, slices, worker_copy, written
+from quadrat.llm.common import MOST_BUCKETS, bucketed, slices, worker_copy, written
 
 #: Merge steps of a piece, and tokens of a block.
 WORK = 1 << 16
 BLOCK = 1 << 21
+LETTERS_A_BUCKET = 16 << 20
 #: A pair of ids as one number: A's above the bits of B's.
 B_BITS = 32
 
@@ -51,13 +53,18 @@ RESULT = (
 )
 PARTS = f"row bigint, piece int, pieces int, {RESULT}, a_last string, b_last string, b_head string"
 
-#: Before such a space no token of either side goes on; see ``Pair.chunks``.
+#: No token of either side goes on over such a place: space after something else, before more.
 EDGE = re.compile(r"(?<=\S)(?= *[^ ])(?= )")
-ODD_SPACE = re.compile(r"\s |^ | $")
+#: Letters that are encoded at once; longer texts are cut at an edge.
+AT_ONCE = 1 << 18
+#: Runs of white space that the fast encoder of A cannot hold on its stack.
+LONG_SPACE = re.compile(r"\s{5000}")
+#: Fixed value: how byte-level vocabularies cut text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Pair:
-    """Both tokenizers, the bytes of their tokens, and their stores of chunks."""
+    """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,11 +84,29 @@ class Pair:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_length = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
+        self.fast = self._ranked(a_path, letters)
         inner = re.compile("[^▁]▁")
-        #: Whether no piece goes on over a space, so that chunks can be encoded alone.
+        #: Whether no piece of B goes on over a space, so that long texts may be cut there.
         self.cuts = not any(inner.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        self.a_store, self.b_store = ChunkStore(self._encode_a), ChunkStore(self._encode_b)
-        self.unfaithful: set[str] = set()
+
+    @staticmethod
+    def _ranked(path: str, letters: dict[str, int]):
+        """The same vocabulary as ranks for a faster encoder, if its ids follow its merges."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        model, before = held["model"], held.get("pre_tokenizer") or {}
+        plain = not held.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+        if not plain or before.get("add_prefix_space") or model.get("ignore_merges"):
+            return None
+        vocabulary = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(vocabulary.get(x + y) != 256 + n for n, (x, y) in enumerate(pairs)):
+            return None
+        words = {w: i for w, i in vocabulary.items() if i < 256 + len(pairs)}
+        ranks = {bytes(letters[c] for c in w): i for w, i in words.items()}
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_control(i):
@@ -89,38 +114,35 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _encode_a(self, chunks: list[str]) -> list[bytes]:
-        coded = self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.int32).tobytes() for x in coded]
-
-    def _encode_b(self, chunks: list[str]) -> list[bytes]:
-        made = [np.array(ids, dtype=np.int32) for ids in self.b.encode(chunks, num_threads=1)]
-        if not self.b_store.held:
-            self.unfaithful.clear()
-        for chunk, ids in zip(chunks, made):
-            if b"".join([self.b_bytes[i] for i in ids.tolist()]) != b" " + chunk.encode():
-                self.unfaithful.add(chunk)
-        return [x.tobytes() for x in made]
-
-    def chunks(self, text: str) -> list[str]:
-        """The parts of space + text between spaces after which both sides start anew, without
-        their first space."""
-        if not self.cuts:
-            return [text]
-        if ODD_SPACE.search(text):
-            return [c[1:] for c in EDGE.split(" " + text)]
-        return text.split(" ")
+    def _a_ids(self, text: str) -> list[int]:
+        if self.fast is None or len(text) >= 5000 and LONG_SPACE.search(text):
+            return self.a.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+    def parts(self, text: str) -> list[str]:
+        """Space + text in parts that can be encoded alone: of about ``AT_ONCE`` letters."""
+        said = " " + text
+        if len(said) <= AT_ONCE or not self.cuts:
+            return [said]
+        out, start = [], 0
+        while len(said) - start > AT_ONCE and (edge := EDGE.search(said, start + AT_ONCE)):
+            out.append(said[start : edge.start()])
+            start = edge.start()
+        return [*out, said[start:]]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides of each text; none where the bytes are not those of space + text."""
-        cut = [self.chunks(t) if t and "▁" not in t else [] for t in texts]
-        self.a_store.learn(cut)
-        self.b_store.learn(cut)
+        parts = [self.parts(t) if t else [] for t in texts]
+        # B adds the space that each part begins with.
+        coded = iter(self.b.encode([p[1:] for held in parts for p in held], num_threads=1))
+        none = np.zeros(0, dtype=np.int32)
         out = []
-        for chunks in cut:
-            if self.unfaithful and not self.unfaithful.isdisjoint(chunks):
-                chunks = []
-            out.append(tuple(np.frombuffer(s.ids(chunks), dtype=np.int32) for s in (self.a_store, self.b_store)))
+        for held in parts:
+            a = [i for p in held for i in self._a_ids(p)]
+            b = [i for _ in held for i in next(coded)]
+            said = "".join(held).encode()
+            same = all(b"".join(map(of.__getitem__, ids)) == said for of, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+            out.append((np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)) if same else (none, none))
         return out
 
 
@@ -211,11 +233,6 @@ class Merged:
         return (ids[0][i] << B_BITS) | ids[1][j], np.full(len(i), n), a_cut, b_cut
 
 
-def whole_and_split(rows: list[dict]) -> list[list[dict]]:
-    kinds = [r for r in rows if r["pieces"] == 1], [r for r in rows if r["pieces"] > 1]
-    return [k for k in kinds if k]
-
-
 def pieces(docs: DataFrame, a_path: str, b_path: str, *, together: bool = True, work: int = WORK, block: int = BLOCK) -> DataFrame:
     """Tokens of all texts in pieces of ``work`` merge steps, written once.
 
@@ -248,37 +265,49 @@ def pieces(docs: DataFrame, a_path: str, b_path: str, *, together: bool = True,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = worker_copy(key, lambda: Pair(a_path, b_path))
-        serial, held, found = TaskContext.get().partitionId() << 32, 0, []
+        # Whole documents and pieces of split ones fill blocks of their own: even and odd numbers.
+        filling = [Block((TaskContext.get().partitionId() << 32) + odd) for odd in (0, 1)]
 
-        def closing() -> pa.RecordBatch:
-            pairs, where = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
-            times = np.bincount(where, weights=np.concatenate([n for _, n in found])).astype(np.int32)
-            return made({"block": [serial], "pairs": [pairs], "times": [times]})
+        def closing(filled: Block) -> pa.RecordBatch:
+            pairs, where = np.unique(np.concatenate([p for p, _ in filled.found]), return_inverse=True)
+            times = np.bincount(where, weights=np.concatenate([n for _, n in filled.found])).astype(np.int32)
+            return made({"block": [filled.serial], "pairs": [pairs], "times": [times]})
 
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 coded = pair.encode(batch.column("text").to_pylist())
                 ids = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), coded)
                 rows = [p for row, doc, (a, b) in ids for p in parts(row, doc, a, b, pair)]
-                at = 0
-                while at < len(rows):
-                    end, size = at, 0
-                    while end < len(rows) and held + size < block:
-                        size += len(rows[end]["a"]) + len(rows[end]["b"])
-                        end += 1
-                    taken, at = rows[at:end], end
-                    held += size
-                    for kind in whole_and_split(taken):
-                        found.append(np.unique(Merged(pair, kind, together).pairs, return_counts=True))
-                    yield made({c: [r[c] for r in taken] for c in taken[0]} | {"block": [serial] * len(taken)})
-                    if held >= block:
-                        yield closing()
-                        serial, held, found = serial + 1, 0, []
-        if found:
-            yield closing()
+                for odd in (0, 1):
+                    own = [r for r in rows if (r["pieces"] > 1) == odd]
+                    while own:
+                        now, end = filling[odd], 0
+                        while end < len(own) and now.held < block:
+                            now.held += len(own[end]["a"]) + len(own[end]["b"])
+                            end += 1
+                        taken, own = own[:end], own[end:]
+                        now.found.append(np.unique(Merged(pair, taken, together).pairs, return_counts=True))
+                        yield made({c: [r[c] for r in taken] for c in taken[0]} | {"block": [now.serial] * end})
+                        if now.held >= block:
+                            yield closing(now)
+                            filling[odd] = Block(now.serial + 2)
+        for filled in filling:
+            if filled.found:
+                yield closing(filled)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), "text")
-    return written(rows.mapInArrow(run, PIECES), "alignment-pieces", "zstd")
+    letters = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    buckets = min(max(cores, -(-letters // LETTERS_A_BUCKET)), MOST_BUCKETS)
+    return bucketed(rows.mapInArrow(run, PIECES), "alignment-pieces", "block", buckets, "zstd")
+
+
+class Block:
+    """Tokens held so far, and the pairs of ids found with how often."""
+
+    def __init__(self, serial: int):
+        self.serial, self.held = serial, 0
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def counts(held: DataFrame) -> DataFrame:
@@ -333,10 +362,10 @@ def _scoring(a_path: str, b_path: str, together: bool):
         pairs, n = pairs[order], known.column("n").to_numpy()[order]
         best = known.column("best").to_numpy()[order].astype(np.int64)
         columns: dict[str, list] = {c: [] for c in names}
+        # A side of a block may be missing: its pieces all without links, or none of this kind.
         for batch in held.to_batches(max_chunksize=2000):
-            rows = _rows(batch)
-            for kind in whole_and_split(rows):
-                scored(kind, pair, a_text, b_text, pairs, n, best, columns)
+            if batch.num_rows:
+                scored(_rows(batch), pair, a_text, b_text, pairs, n, best, columns)
         kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 7, *[pa.string()] * 4]
         return pa.Table.from_arrays([pa.array(columns[c], k) for c, k in zip(names, kinds)], names=names)
 
@@ -440,15 +469,18 @@ def align(
     # A block asks for each of its pairs once.
     asked = held.where("pairs IS NOT NULL").select(F.col("block").alias("asking"), F.explode("pairs").alias("pair"))
     known = asked.join(counted.select("pair", "n", "best"), "pair").select("asking", "pair", "n", "best")
-    tokens = held.where("pairs IS NULL").drop("pairs", "times")
-    parts = tokens.groupBy("block").cogroup(known.groupBy("asking")).applyInArrow(
-        _scoring(a_path, b_path, together), PARTS
-    )
-    parts = written(parts, "alignment-parts", "zstd")
+    known = written(known, "alignment-known")
+    run = _scoring(a_path, b_path, together)
+
+    def scored(odd: int) -> DataFrame:
+        tokens = held.where(f"pairs IS NULL AND pieces {'>' if odd else '='} 1").drop("pairs", "times")
+        mine = known.where(F.col("asking").bitwiseAND(1) == odd)
+        return tokens.groupBy("block").cogroup(mine.groupBy("asking")).applyInArrow(run, PARTS)
+
     names = [field.split()[0] for field in RESULT.split(", ")]
     fragments = F.struct("piece", "groups", "b_head", "a_last", "b_last")
-    split = parts.where("pieces > 1").groupBy("row", "doc_id").agg(
+    split = scored(1).groupBy("row", "doc_id").agg(
         *[F.sum(c).alias(c) for c in names[1:-1]], F.collect_list(fragments).alias("parts")
     )
     split = split.drop("row").mapInArrow(_stitching, RESULT)
-    return parts.where("pieces = 1").select(*names).unionByName(split), counted
+    return scored(0).select(*names).unionByName(split), counted

@@ -28,7 +28,6 @@ squared distance would no longer fit a long.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import written
+from quadrat.llm.common import MOST_BUCKETS, bucketed, written
 from quadrat.llm.vectors import matrix
-from quadrat.session import shared_folder
 
 MOST = 1 << 27
 STATE = (
@@ -69,25 +67,6 @@ def points(embeddings: DataFrame, dimension: int, scale: int) -> DataFrame:
     )
 
 
-class Buckets:
-    """Tables bucketed by row in the shared folder; their names are dropped at the end."""
-
-    def __init__(self, spark, number: int):
-        self.spark, self.number, self.names = spark, number, []
-
-    def written(self, df: DataFrame, label: str) -> DataFrame:
-        name = f"{label}_{uuid.uuid4().hex}"
-        path = f"{shared_folder(self.spark)}/{name}"
-        writer = df.write.format("parquet").option("path", path)
-        writer.bucketBy(self.number, "row").sortBy("row").saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
-
-    def drop(self) -> None:
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
 def squared(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Exact squared distances, vectors by centroids."""
     top = max(int(np.abs(x).max(initial=0)), int(np.abs(centroids).max(initial=0)), 1)
@@ -254,8 +233,8 @@ def cluster(
     if not len(centroids):
         return Clusters(spark.createDataFrame([], RESULT), [], [])
     cores = spark.sparkContext.defaultParallelism
-    buckets = Buckets(spark, min(max(cores, -(-made.count() // ROWS_A_BUCKET)), 100_000))
-    held = buckets.written(made, "centroid_points")
+    buckets = min(max(cores, -(-made.count() // ROWS_A_BUCKET)), MOST_BUCKETS)
+    held = bucketed(made, "centroid-points", "row", buckets)
     k, d = centroids.shape
     totals = [[0] * (d + 1) for _ in range(k)]
     now, state, scanned = Round(centroids, None, np.zeros(k)), None, []
@@ -267,7 +246,7 @@ def cluster(
         return held.join(bounds.hint("merge"), "row")
 
     for _ in range(rounds):
-        state = buckets.written(inputs().mapInArrow(_assigning(now), STATE), "centroid_state")
+        state = bucketed(inputs().mapInArrow(_assigning(now), STATE), "centroid-state", "row", buckets)
         parts = state.where("sums IS NOT NULL")
         change = (
             parts.select(F.posexplode("sums").alias("at", "n"))
@@ -284,5 +263,4 @@ def cluster(
         ], dtype=np.int64)
         now = Round(new, old, np.maximum([reach[i] for i in range(k)], 0.0))
     result = written(inputs().mapInArrow(_ending(now), RESULT), "centroid-result")
-    buckets.drop()
     return Clusters(result, now.centroids.tolist(), scanned)

@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from quadrat.session import materialise, shared_folder
 
 
+#: As many as Spark allows by default.
+MOST_BUCKETS = 100_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -27,6 +31,21 @@ def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int, codec: str = "snappy") -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``, so that joins on it do not shuffle.
+
+    Buckets need a table name; the plan read back holds the files, so the name goes again.
+    """
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", f"{shared_folder(spark)}/{name}")
+    writer.option("compression", codec).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    held = spark.table(name)
+    held.schema  # resolved while it has its name
+    spark.sql(f"DROP TABLE {name}")
+    return held
+
+
 def crc_fold(column: str, folds: int):
     """crc32 of an id as text, modulo ``folds``; a null id counts as fold null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds

@@ -11,9 +11,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrat.llm import alignment, centroids, line_quality, queries
-from quadrat.llm.common import ChunkStore, crc_fold
+from quadrat.llm.common import ChunkStore, bucketed, crc_fold
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, cluster string"
 SMALL = "/root/testdata/sf0.001"
@@ -119,13 +120,13 @@ def test_loosening_bounds_every_loss_and_is_less_than_the_drift():
 
 
 def test_rounds_shuffle_no_vectors(spark):
-    held = centroids.Buckets(spark, 4)
     made = centroids.points(spark.createDataFrame(vectors_with_odd_rows(), VECTORS), 64, 1024)
-    points = held.written(made, "test_points")
-    state = held.written(points.select("row", "vec_id").withColumnRenamed("vec_id", "cluster"), "test_state")
-    plan = points.join(state.hint("merge"), "row")._jdf.queryExecution().executedPlan().toString()
-    held.drop()
-    assert "Exchange" not in plan
+    points = bucketed(made, "test-points", "row", 4)
+    state = bucketed(points.select("row", F.col("vec_id").alias("cluster")), "test-state", "row", 4)
+    both = points.join(state.hint("merge"), "row")
+    assert both.count() == points.count() > 900
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("test_")]
 
 
 def test_centroid_query_equals_its_sql(spark):
@@ -225,6 +226,16 @@ def test_alignment_equals_a_plain_merge(spark, together, work, block):
     assert counted.count() == counted.select("a_id", "b_id").distinct().count()
 
 
+def test_long_texts_are_cut_only_where_both_sides_start_anew(monkeypatch):
+    encode_a, encode_b, *_ = token_bytes()
+    pair = alignment.Pair(A, B)
+    texts = [t for t in odd_texts() if t and "▁" not in t] + ["x" + " " * 20_000 + "y\n" * 300]
+    monkeypatch.setattr(alignment, "AT_ONCE", 40)
+    assert max(len(pair.parts(t)) for t in texts) > 100
+    for text, (a, b) in zip(texts, pair.encode(texts)):
+        assert a.tolist() == encode_a(text) and b.tolist() == encode_b(text)
+
+
 def test_alignment_of_no_documents(spark):
     got, counted = alignment.align(spark.createDataFrame([], "doc_id bigint, text string"), A, B)
     assert got.count() == 0 and counted.count() == 0
