@@ -67,16 +67,14 @@ class Pair:
     """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        # Strings of special tokens inside a text are text.
-        self.a.encode_special_tokens = True
+        self.a_path, self.slow = a_path, None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _byte_letters()
-        vocabulary = self.a.get_vocab()
+        with open(a_path, encoding="utf-8") as file:
+            held = json.load(file)
+        vocabulary = held["model"]["vocab"] | {t["content"]: t["id"] for t in held.get("added_tokens") or ()}
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             known = all(c in letters for c in token)
@@ -84,18 +82,16 @@ class Pair:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_length = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
-        self.fast = self._ranked(a_path, letters)
+        self.fast = self._ranked(held, letters)
         inner = re.compile("[^▁]▁")
         #: Whether no piece of B goes on over a space, so that long texts may be cut there.
         self.cuts = not any(inner.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
 
     @staticmethod
-    def _ranked(path: str, letters: dict[str, int]):
+    def _ranked(held: dict, letters: dict[str, int]):
         """The same vocabulary as ranks for a faster encoder, if its ids follow its merges."""
         import tiktoken
 
-        with open(path, encoding="utf-8") as file:
-            held = json.load(file)
         model, before = held["model"], held.get("pre_tokenizer") or {}
         plain = not held.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True)
         if not plain or before.get("add_prefix_space") or model.get("ignore_merges"):
@@ -114,9 +110,20 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _own(self):
+        """A's own encoder, which is slower and larger; loaded where it is needed."""
+        if self.slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.a_path)
+            # Strings of special tokens inside a text are text.
+            self.slow.encode_special_tokens = True
+        return self.slow
+
     def _a_ids(self, text: str) -> list[int]:
         if self.fast is None or len(text) >= 5000 and LONG_SPACE.search(text):
-            return self.a.encode(text, add_special_tokens=False).ids
+            return self._own().encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
     def parts(self, text: str) -> list[str]:
