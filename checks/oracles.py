@@ -308,6 +308,14 @@ FACTORS = ["nb", "nb_age", "nb_inc"]
 DISPERSION_FACTORS = ["nb_inc", "nb_age"]
 
 
+# What must not be found in an ordination.
+NMDS_ABSENT = (
+    "starts that did not converge", "axes off centre", "axes correlated", "axes out of order",
+    "values with two levels", "levels off their mean", "levels that should part", "levels that fall",
+    "stress off", "unit off",
+)
+
+
 def _community(which: str) -> tuple[str, ...]:
     if which == "floral":
         return q.NB_INFO, q.OBS, q.FLORAL_COMMUNITY
@@ -323,6 +331,13 @@ def _community_oracles(which: str, permutations: int) -> dict[str, str]:
         f"{which}_bray_curtis": q.query(
             *base, final=f"SELECT site_i, site_j, {r('d')} AS d FROM pairs"
         ),
+        f"{which}_nmds_checks": q.query(
+            *tested,
+            final=f"""SELECT 'sites' AS check_name, count(*) AS n FROM sites
+              UNION ALL SELECT 'pairs', count(d) FROM pairs
+              UNION ALL SELECT 'centroids', count(*) FROM (SELECT DISTINCT nb, nb_inc FROM sites)
+              UNION ALL SELECT unnest({list(NMDS_ABSENT)}), 0""",
+        ),
         f"{which}_permanova_stat": q.query(
             *tested, q.PERMANOVA, final=f"SELECT {q.PERMANOVA_COLUMNS} FROM fit"
         ),

@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks.oracles import lawn_taxa, taxa
@@ -15,7 +16,7 @@ from quadrat.operators import community as cm
 from quadrat.operators.correlation import kendall, pearson
 from quadrat.operators.diversity import community_structure
 from quadrat.operators.joins import attach, outer_zero_fill
-from quadrat.operators.ordination import nmds
+from quadrat.operators.ordination import half_change, monotone_fit, nmds
 from quadrat.operators.regression import interaction_anova, ols_coefficients, trend_lines
 from quadrat.plans import communities, figures, floral, inference, lawn, survey
 from quadrat.session import materialise
@@ -23,6 +24,7 @@ from quadrat.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
 PERMUTATIONS = 999
+NMDS_STARTS = 8
 
 _shared: dict[tuple, object] = {}
 
@@ -103,7 +105,7 @@ class Data:
             self.spark,
             self.folder,
             f"{which} ordination",
-            lambda: nmds(self.community(which).pairs, starts=3, max_rounds=20),
+            lambda: nmds(self.community(which).pairs, most_starts=NMDS_STARTS),
         )
 
 
@@ -251,9 +253,58 @@ def _community_queries(which: str) -> dict[str, Callable[[Data], DataFrame]]:
         f"{which}_nmds_scores": lambda d: d.ordination(which)[0],
         f"{which}_nmds_stress": lambda d: d.ordination(which)[1],
         f"{which}_nmds_centroids": lambda d: _centroids(d, which),
+        f"{which}_nmds_checks": lambda d: _nmds_checks(d, which),
     }
 
 
+def _nmds_checks(d: Data, which: str) -> DataFrame:
+    """How often an ordination breaks what defines it, from its scores and the pairs.
+
+    A fit is the monotone one if its levels rise with the dissimilarities, and within each level
+    the misfits add up to 0 and their running sums are never negative.
+    """
+    scores, trace = d.ordination(which)
+    pairs = d.community(which).pairs
+    fitted = materialise(monotone_fit(pairs, scores), "nmds-checked")
+    values = fitted.groupBy("h", "d").agg(F.sum(F.col("dist") - F.col("h")).alias("gap"))
+    order = W.partitionBy("h").orderBy("d")
+    running = values.withColumn("sofar", F.sum("gap").over(order))
+    levels = fitted.groupBy("h").agg(
+        F.min("d").alias("low"), F.max("d").alias("high"), F.sum(F.col("dist") - F.col("h")).alias("gap")
+    )
+    spread = fitted.groupBy("d").agg(F.count_distinct("h").alias("levels"))
+    # One row a level, so this window holds far fewer rows than there are pairs.
+    falling = levels.withColumn("before", F.lag("high").over(W.orderBy("h"))).where("before >= low")
+    told = trace.agg(F.min("stress")).first()[0]
+    again = F.sqrt(F.sum((F.col("dist") - F.col("h")) ** 2) / F.sum(F.col("dist") ** 2))
+    axes = scores.agg(
+        F.avg("axis1").alias("m1"), F.avg("axis2").alias("m2"), F.covar_pop("axis1", "axis2").alias("c"),
+        F.var_pop("axis1").alias("v1"), F.var_pop("axis2").alias("v2"),
+    )
+    slack = 1e-9
+    unit, _ = half_change(pairs, scores)
+
+    def row(name: str, frame: DataFrame, value) -> DataFrame:
+        return frame.agg(value.cast("bigint").alias("n")).select(F.lit(name).alias("check_name"), "n")
+
+    found = [
+        row("sites", scores, F.count("axis1")),
+        row("pairs", fitted, F.count("h")),
+        row("centroids", _centroids(d, which), F.count("m1")),
+        row("starts that did not converge", trace, F.count_if(~F.col("converged"))),
+        row("axes off centre", axes, F.max((F.abs("m1") > slack).cast("int") + (F.abs("m2") > slack).cast("int"))),
+        row("axes correlated", axes, F.max((F.abs("c") > slack).cast("int"))),
+        row("axes out of order", axes, F.max((F.col("v1") < F.col("v2") - slack).cast("int"))),
+        row("values with two levels", spread, F.count_if(F.col("levels") > 1)),
+        row("levels off their mean", levels, F.count_if(F.abs("gap") > 1e-7)),
+        row("levels that should part", running, F.count_if(F.col("sofar") < -1e-7)),
+        row("levels that fall", falling, F.count("h")),
+        row("stress off", fitted, (F.abs(again - F.lit(told)) > slack).cast("int")),
+        row("unit off", axes, F.max(F.lit(int(unit is None or abs(unit - 1) > 1e-6)))),
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def _centroids(d: Data, which: str) -> DataFrame:
     return communities.score_centroids(
         d.ordination(which)[0], d.community(which).sites.select("site", "nb", "nb_inc")

@@ -21,7 +21,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("output", help="folder for the result tables")
     parser.add_argument("tables", nargs="*", help="tables to write; all by default")
     parser.add_argument("--permutations", type=int, default=999)
-    parser.add_argument("--starts", type=int, default=5)
+    parser.add_argument("--starts", type=int, help="most starts of either ordination")
     parser.add_argument(
         "--file", action="append", default=[], metavar="TABLE=FILE", help="name of an input file"
     )
@@ -29,7 +29,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     files = dict(item.split("=", 1) for item in options.file)
     spark = spark or SparkSession.builder.appName("quadrat").getOrCreate()
     study = read_study(spark, options.study, files)
-    tables = catalogue(study, options.permutations, options.starts)
+    starts = dict.fromkeys(("floral", "lawn"), options.starts) if options.starts else None
+    tables = catalogue(study, options.permutations, starts)
     unknown = set(options.tables) - set(tables)
     if unknown:
         parser.error(f"unknown tables: {', '.join(sorted(unknown))}")

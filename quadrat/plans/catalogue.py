@@ -20,7 +20,14 @@ from quadrat.sources.study import Study
 Table = Callable[[], DataFrame]
 
 
-def catalogue(study: Study, permutations: int = 999, starts: int = 5) -> dict[str, Table]:
+#: How many starts the study's two ordinations try at most.
+MOST_STARTS = {"floral": 100, "lawn": 1000}
+
+
+def catalogue(
+    study: Study, permutations: int = 999, starts: dict[str, int] | None = None
+) -> dict[str, Table]:
+    starts = MOST_STARTS | (starts or {})
     prepared = functools.cache(lambda: inference.prepare(study))
     rows = lambda: prepared().rows
     cover = lambda: prepared().cover
@@ -125,7 +132,7 @@ def catalogue(study: Study, permutations: int = 999, starts: int = 5) -> dict[st
             figures.WATER_ATTITUDE_LIMITS, figures.SCATTER_LIMITS["water_wghtd_avg"],
         )
     for which in ("floral", "lawn"):
-        tables.update(_community_tables(study, prepared, which, permutations, starts))
+        tables.update(_community_tables(study, prepared, which, permutations, starts[which]))
     return tables
 
 
@@ -134,7 +141,7 @@ def _community_tables(
     prepared: Callable[[], inference.Prepared],
     which: str,
     permutations: int,
-    starts: int,
+    most_starts: int,
 ) -> dict[str, Table]:
     attributes = {
         "floral": communities.FLORAL_ATTRIBUTES, "lawn": communities.LAWN_ATTRIBUTES
@@ -150,7 +157,7 @@ def _community_tables(
     community = functools.cache(
         lambda: inference.community_pairs(long(), inference.CENTROID_FACTORS)
     )
-    ordination = functools.cache(lambda: nmds(community().pairs, starts=starts))
+    ordination = functools.cache(lambda: nmds(community().pairs, most_starts=most_starts))
     distances = lambda: inference.dispersion_distances(community())
 
     def centroids() -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 from quadrat.operators import community as cm
 from quadrat.operators.distance import bray_curtis
-from quadrat.operators.ordination import nmds
+from quadrat.operators import ordination
 from quadrat.operators.permutation import permuted_sites
 from quadrat.session import materialise
 
@@ -159,52 +159,96 @@ def test_results_do_not_depend_on_partitioning(pairs, labels):
         assert x["pseudo_f"] == pytest.approx(y["pseudo_f"])
 
 
-def test_nmds_recovers_a_planted_plane(spark):
-    rng = np.random.default_rng(1)
-    points = rng.normal(size=(16, 2))
-    names = [f"p{i:02d}" for i in range(16)]
+def planted(spark, n: int, seed: int = 1):
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(n, 2))
+    names = [f"p{i:02d}" for i in range(n)]
     rows = [
-        (names[i], names[j], float(np.linalg.norm(points[i] - points[j]) ** 1.5))
-        for i, j in itertools.combinations(range(16), 2)
+        (names[i], names[j], float(np.linalg.norm(points[i] - points[j]) ** 1.5) / 12)
+        for i, j in itertools.combinations(range(n), 2)
     ]
-    pairs = materialise(spark.createDataFrame(rows, "site_i string, site_j string, d double"), "p")
-    scores, trace = nmds(pairs, starts=2, max_rounds=7, classical_rounds=4)
-    stress = sorted((r["round"], r["stress"]) for r in trace.collect() if r["start"] == 0)
-    assert stress[-1][1] < 0.05
-    assert all(b[1] <= a[1] + 1e-9 for a, b in zip(stress, stress[1:]))
+    frame = spark.createDataFrame(rows, "site_i string, site_j string, d double")
+    return points, materialise(frame, "planted")
+
+
+def test_nmds_recovers_a_planted_plane(spark):
+    points, pairs = planted(spark, 16)
+    scores, trace = ordination.nmds(pairs, most_starts=12, batch=4, threshold=9.0)
+    rows = trace.orderBy("stress").collect()
+    assert all(r["converged"] for r in rows) and rows[0]["stress"] < 0.01
+    # The two best starts agree, so the other batches never began.
+    assert rows[0]["agrees"] and rows[1]["residual"] < ordination.AGREE and len(rows) < 12
     found = np.array([[r["axis1"], r["axis2"]] for r in sorted(scores.collect())])
     assert np.allclose(found.mean(axis=0), 0, atol=1e-9)
     assert found[:, 0].var() >= found[:, 1].var()
     assert abs((found[:, 0] * found[:, 1]).mean()) < 1e-9
-    centred = points - points.mean(axis=0)
-    u, s, vt = np.linalg.svd(found.T @ centred)
-    fit = s.sum() ** 2 / ((found**2).sum() * (centred**2).sum())
-    assert fit > 0.95
+    assert ordination.residual(points, found) < 0.02
 
 
-def test_nmds_stress_is_the_monotone_misfit(spark):
-    """Round 1 of the classical start, recomputed with a plain pooling loop."""
-    rng = np.random.default_rng(5)
-    names = [f"q{i}" for i in range(8)]
-    links = list(itertools.combinations(range(8), 2))
-    d = rng.integers(1, 5, len(links)) / 4  # many ties
-    rows = [(names[i], names[j], float(v)) for (i, j), v in zip(links, d)]
-    pairs = materialise(spark.createDataFrame(rows, "site_i string, site_j string, d double"), "q")
-    scores, trace = nmds(pairs, starts=1, max_rounds=1, classical_rounds=3)
-    place = {r["site"]: np.array([r["axis1"], r["axis2"]]) for r in scores.collect()}
-    dist = np.array([np.linalg.norm(place[names[i]] - place[names[j]]) for i, j in links])
-    levels = [[dist[d == v].mean(), int((d == v).sum()), [v]] for v in sorted(set(d))]
+def plain_fit(d, dist):
+    """Levels by a plain pooling loop over the distinct values."""
     merged = []
-    for level in levels:
-        merged.append(level)
+    for v in sorted(set(d)):
+        merged.append([dist[d == v].mean(), int((d == v).sum()), [v]])
         while len(merged) > 1 and merged[-2][0] > merged[-1][0]:
-            b, a = merged.pop(), merged.pop()
-            n = a[1] + b[1]
-            merged.append([(a[0] * a[1] + b[0] * b[1]) / n, n, a[2] + b[2]])
-    fit = {v: m for m, _, vs in merged for v in vs}
-    h = np.array([fit[v] for v in d])
-    expected = np.sqrt(((dist - h) ** 2).sum() / (dist**2).sum())
-    assert trace.first()["stress"] == pytest.approx(expected)
+            y, x = merged.pop(), merged.pop()
+            n = x[1] + y[1]
+            merged.append([(x[0] * x[1] + y[0] * y[1]) / n, n, x[2] + y[2]])
+    level = {v: m for m, _, vs in merged for v in vs}
+    return np.array([level[v] for v in d])
+
+
+@pytest.mark.parametrize("kind,size", [("plain", 10**6), ("plain", 40), ("ties", 25), ("one value", 30), ("hot", 20)])
+def test_monotone_fit_by_ranges_equals_a_plain_loop(spark, kind, size):
+    rng = np.random.default_rng(5)
+    names = [f"q{i:02d}" for i in range(24)]
+    links = list(itertools.combinations(range(24), 2))
+    d = rng.random(len(links))
+    d = {"plain": d, "ties": np.round(d, 1), "one value": np.ones(len(links)), "hot": np.where(d < 0.5, 0.5, d)}[kind]
+    rows = [(names[i], names[j], float(v)) for (i, j), v in zip(links, d)] + [(names[0], "alone", None)]
+    pairs = materialise(spark.createDataFrame(rows, "site_i string, site_j string, d double"), "q")
+    ranges = ordination.sorted_ranges(pairs, size)
+    assert ranges.names == names
+    points = rng.normal(size=(24, 2)) + np.linspace(0, 3, 24)[:, None]
+    fitted = ordination.Stress(ranges).fitted(points).collect()
+    place = dict(zip(names, points))
+    dist = np.array([np.linalg.norm(place[r["site_i"]] - place[r["site_j"]]) for r in fitted])
+    assert len(fitted) == len(links)
+    assert np.allclose([r["dist"] for r in fitted], dist)
+    want = plain_fit(np.array([r["d"] for r in fitted]), dist)
+    assert np.allclose([r["h"] for r in fitted], want)
+    stress, slope = ordination.Stress(ranges)({4: points})
+    assert stress[4] == pytest.approx(np.sqrt(((dist - want) ** 2).sum() / (dist**2).sum()))
+    if kind == "plain":
+        for k in ((3, 0), (20, 1)):
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = points.copy()
+                moved[k] += step
+                ends.append(ordination.Stress(ranges)({4: moved})[0][4])
+            assert slope[4][k] == pytest.approx((ends[0] - ends[1]) / 2e-6, rel=1e-3, abs=1e-7)
+
+
+def test_scores_are_in_units_of_half_change(spark):
+    rng = np.random.default_rng(2)
+    points = rng.random((12, 2))
+    names = [f"h{i:02d}" for i in range(12)]
+    far = {(i, j): float(np.linalg.norm(points[i] - points[j])) for i, j in itertools.combinations(range(12), 2)}
+    # Replicates differ by 0.2; each 4 units of distance cost 0.4, half of the similarity left.
+    rows = [(names[i], names[j], min(0.2 + 0.1 * v, 0.79) if v < 1 else 0.95) for (i, j), v in far.items()]
+    pairs = materialise(spark.createDataFrame(rows, "site_i string, site_j string, d double"), "h")
+    scores = spark.createDataFrame([(n, *map(float, p)) for n, p in zip(names, points)], "site string, axis1 double, axis2 double")
+    unit, zero = ordination.half_change(pairs, scores)
+    assert (unit, zero) == (pytest.approx(4.0), pytest.approx(0.2))
+    scaled, _ = ordination.nmds(pairs, most_starts=1)
+    assert ordination.half_change(pairs, scaled)[0] == pytest.approx(1.0)
+
+
+def test_nmds_of_too_few_sites_is_missing(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.5)], "site_i string, site_j string, d double")
+    scores, trace = ordination.nmds(pairs)
+    assert [tuple(r) for r in sorted(scores.collect())] == [("a", None, None), ("b", None, None)]
+    assert trace.count() == 0
 
 
 def test_missing_taxon_is_a_taxon_of_its_own(spark):
