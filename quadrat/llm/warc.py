@@ -9,8 +9,8 @@ The reader cuts files into byte ranges.  A task scans its range for the gzip mag
 candidate by decoding a WARC header behind it, however long, and owns the records that start
 inside the range, reading past its end for the last one.
 
-Defined results: a null payload is empty; an id may repeat, then the larger row of the written
-table counts as the later; extra columns are ignored.  An empty table writes no file and reads
+Defined results: a null payload is empty; an id may repeat, then the row with the larger
+key counts as the later; extra columns are ignored.  An empty table writes no file and reads
 as no rows.  Payloads are decoded and checked whole; a record whose digest does not match ends
 the query with an error, as does a header cut short or a number of records read that differs
 from the number written.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,14 +73,14 @@ def _write(folder: str):
                 payload = row["html"] or b""
                 digest = base32(hashlib.sha1(payload).digest())
                 shared = [
-                    ("WARC-Record-ID", f"<urn:row:{row['row']}>"),
+                    ("WARC-Record-ID", f"<urn:row:{row['key']}>"),
                     ("WARC-Date", "2024-01-01T00:00:00Z"),
                     ("WARC-Target-URI", _clean(row["url"])),
                     ("WARC-Payload-Digest", f"sha1:{digest}"),
                 ]
                 if row["page_id"] is not None:
                     shared.append(("WARC-Page-ID", str(row["page_id"])))
-                if row["head"] == row["row"]:
+                if row["head"] == row["key"]:
                     headers, block = [("WARC-Type", "response"), *shared], payload
                 else:
                     refers = ("WARC-Refers-To", f"<urn:row:{row['head']}>")
@@ -98,19 +99,33 @@ def _write(folder: str):
     return run
 
 
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html as bytes, and a key that tells every row apart however often it is read.
+
+    Rows of files have their file and their number in it; other rows are numbered and written once.
+    """
+    html = F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("html")
+    try:
+        place = pages.metadataColumn("_metadata")
+        name = F.concat_ws("#", place["file_path"], place["row_index"].cast("string"))
+        return pages.select("page_id", "url", html, F.md5(name.cast("binary")).alias("key"))
+    except AnalysisException:
+        number = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0").alias("key")
+        return written(pages.select("page_id", "url", html, number), "warc-rows")
+
+
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to ``folder``; returns path, length and records per file.
 
-    Records share a payload only from ``least`` bytes on.
+    Records share a payload only from ``least`` bytes on.  Responses are chosen from digests alone;
+    then payloads move once, by row, so that a payload many rows share is no hot key.
     """
-    rows = pages.select(
-        "page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("html"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    rows = rows.withColumn("same", F.when(F.length("html") >= least, F.sha2("html", 256)))
-    rows = written(rows.withColumn("same", F.coalesce("same", F.col("row").cast("string"))), "warc-rows")
-    heads = rows.groupBy("same").agg(F.max(F.struct("page_id", "row"))["row"].alias("head"))
-    joined = rows.join(heads, "same").drop("same")
+    rows = keyed(pages)
+    same = F.coalesce(F.when(F.length("html") >= least, F.sha2("html", 256)), "key")
+    named = written(rows.select("page_id", "key", same.alias("same")), "warc-digests")
+    heads = named.groupBy("same").agg(F.max(F.struct("page_id", "key"))["key"].alias("head"))
+    marked = named.join(heads, "same").select("key", "head")
+    joined = rows.join(marked, "key")
     pafs_folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     system, path = pafs.FileSystem.from_uri(pafs_folder)
     system.create_dir(path, recursive=True)
