@@ -12,8 +12,13 @@ Both tests need only sums over pairs, so no matrix is ever assembled:
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +27,7 @@ from quadrat.operators.permutation import permuted_sites
 from quadrat.session import materialise
 
 TOLERANCE = math.sqrt(2.0**-52)  # fixed value: slack when comparing permuted F with observed F
-LABEL_BLOCK_BYTES = 8 << 20  # upper size of one broadcast block of permuted labels
-LABEL_ROW_BYTES = 128  # allowance per row of it for names and object headers
+TILE = 256  # sites of a tile; a task holds the pairs of two tiles at most
 
 
 def site_labels(sites: DataFrame, site: str, factors: list[str]) -> DataFrame:
@@ -54,7 +58,8 @@ def _total_squares(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _f_ratio(ss_within: str) -> Column:
-    between = (F.col("ss_total") - F.col(ss_within)) / (F.col("k") - 1)
+    # Undefined, hence missing, for a factor with one label.
+    between = F.try_divide(F.col("ss_total") - F.col(ss_within), F.col("k") - 1)
     return F.try_divide(between, F.col(ss_within) / (F.col("n") - F.col("k")))
 
 
@@ -87,83 +92,141 @@ def permanova(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _permuted_within(
-    pairs: DataFrame, labels: DataFrame, sites: DataFrame, permutations: int, n: int, factors: int
-) -> DataFrame:
-    """``(factor, p, ss_within)`` for every permutation.
+class _Sites:
+    """Site names in order, their label codes by factor, and the weight of each code.
 
-    Label codes travel as one integer array per site and factor.  Permutations
-    are taken in blocks small enough that n sites x factors x block codes stay
-    under LABEL_BLOCK_BYTES: the pairs are then scanned once per block and never
-    shuffled.  Were even one permutation too large, Spark picks the join.
+    It goes to every task: n names and codes, where the pairs hold n(n-1)/2 rows.
     """
-    sizes = _group_sizes(labels).withColumn(
-        "code", F.row_number().over(W.partitionBy("factor").orderBy("label"))
-    )
-    coded = labels.join(sizes, ["factor", "label"]).select(
-        F.col("site").alias("source"), "factor", "code"
-    )
-    assigned = permuted_sites(sites, "site", permutations).join(coded, "source")
-    rows = n * factors
-    block = max(1, min(permutations, (LABEL_BLOCK_BYTES // rows - LABEL_ROW_BYTES) // 4))
-    bounded = rows * (4 * block + LABEL_ROW_BYTES) <= LABEL_BLOCK_BYTES
-    blocks = assigned.withColumn("block", F.floor((F.col("p") - 1) / block).cast("int"))
-    codes = blocks.groupBy("block", "factor", "site").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("p", "code"))), lambda s: s["code"]
-        ).alias("codes")
-    )
-    codes = materialise(codes, "permuted-labels")
-    total = None
-    for number in range(math.ceil(permutations / block)):
-        width = min(block, permutations - number * block)
-        part = codes.where(F.col("block") == number).drop("block")
-        part = F.broadcast(part) if bounded else part
-        left = part.withColumnsRenamed({"site": "site_i", "codes": "codes_i"})
-        right = part.withColumnsRenamed({"site": "site_j", "codes": "codes_j"})
-        inside = (
-            pairs.join(left, "site_i")
-            .join(right, ["factor", "site_j"])
-            .select(
-                "factor",
-                "codes_i",
-                "codes_j",
-                (F.col("d") * F.col("d")).alias("d2"),
-                F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("at"),
-            )
-            .select(
-                "factor",
-                "at",
-                "d2",
-                F.get("codes_i", "at").alias("code"),
-                F.get("codes_j", "at").alias("other"),
+
+    def __init__(self, labels: DataFrame):
+        rows = labels.select("factor", "site", "label").collect()
+        self.names = sorted({r["site"] for r in rows})
+        self.factors = sorted({r["factor"] for r in rows})
+        number = {s: i for i, s in enumerate(self.names)}
+        # Code -1, a site without the factor, weighs nothing.
+        self.codes = np.full((len(self.factors), len(self.names)), -1, dtype=np.int32)
+        self.weights: list[np.ndarray] = []
+        for f, factor in enumerate(self.factors):
+            own = [(number[r["site"]], r["label"]) for r in rows if r["factor"] == factor]
+            known = {v: c for c, v in enumerate(sorted({v for _, v in own}))}
+            for site, label in own:
+                self.codes[f, site] = known[label]
+            sizes = np.bincount(self.codes[f][self.codes[f] >= 0], minlength=len(known))
+            self.weights.append(np.append(1 / sizes, 0.0))
+
+    def order(self, number: int) -> np.ndarray:
+        """The sites in the order of permutation ``number``; see ``permutation``."""
+        keys = [hashlib.md5(f"{number}|{s}".encode()).hexdigest() for s in self.names]
+        return np.array(sorted(range(len(keys)), key=lambda i: (keys[i], self.names[i])))
+
+
+CODES = "row int, col int, high boolean, p int, factor int, codes array<int>"
+TILED = "row int, col int, i int, j int, d2 double"
+
+
+def _permuting(shared, tiles: int, tile: int):
+    """Label codes of each permutation, cut into tiles of sites and copied to the cells of a tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sites = shared.value
+        base = sites.order(0)
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                codes = np.empty_like(sites.codes)
+                codes[:, sites.order(number)] = sites.codes[:, base]
+                rows = [
+                    (min(t, other), max(t, other), high, number, f, codes[f, t * tile : (t + 1) * tile])
+                    for t in range(tiles) for other in range(tiles) for f in range(len(codes))
+                    # Below its own tile a tile is the high side of a cell, above it the low one.
+                    for high in ((False, True) if other == t else (other < t,))
+                ]
+                kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["row", "col", "high", "p", "factor", "codes"]
+                )
+
+    return run
+
+
+def _tiled(shared, tile: int):
+    """Pairs with numbered sites and the cell of their tiles; the smaller site is the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shared.value.names, pa.string())
+        for batch in batches:
+            ends = [pc.index_in(batch.column(c), names) for c in ("site_i", "site_j")]
+            known = pc.and_(ends[0].is_valid(), ends[1].is_valid())
+            one, two = (x.filter(known).to_numpy() for x in ends)
+            i, j = np.minimum(one, two), np.maximum(one, two)
+            d = batch.column("d").filter(known).to_numpy(zero_copy_only=False)
+            columns = [i // tile, j // tile, i % tile, j % tile]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c.astype(np.int32)) for c in columns], pa.array(d * d)], names=["row", "col", "i", "j", "d2"]
             )
-            .where("code = other")
-            .groupBy("factor", "at", "code")
-            .agg(F.sum("d2").alias("d2"))
-            .withColumn("p", F.col("at") + 1 + number * block)
-        )
-        total = inside if total is None else total.unionByName(inside)
-    return (
-        total.join(sizes, ["factor", "code"])
-        .groupBy("factor", "p")
-        .agg(F.sum(F.col("d2") / F.col("size")).alias("ss_within"))
+
+    return run
+
+
+def _summing(shared, permutations: int, chunk: int = 1024):
+    """Of one cell: by factor and permutation, d^2 within groups, each weighted by 1/n_g."""
+
+    def run(pairs: pa.Table, codes: pa.Table) -> pa.Table:
+        i, j, d2 = (pairs.column(c).to_numpy() for c in ("i", "j", "d2"))
+        high, p, factor = (codes.column(c).to_numpy() for c in ("high", "p", "factor"))
+        held = codes.column("codes").combine_chunks()
+        values, ends = held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())
+        out: list[tuple] = []
+        for f, weights in enumerate(shared.value.weights if len(i) else []):
+            sides = []
+            for side in (False, True):
+                rows = np.nonzero((factor == f) & (high == side))[0]
+                rows = rows[np.argsort(p[rows])]
+                width = len(values[ends[rows[0]] - len(held[int(rows[0])]) : ends[rows[0]]])
+                sides.append(values[(ends[rows] - width)[:, None] + np.arange(width)])
+            sums = np.zeros(permutations)
+            for at in range(0, len(i), chunk):
+                a, b = sides[0][:, i[at : at + chunk]], sides[1][:, j[at : at + chunk]]
+                sums += np.where(a == b, weights[a], 0.0) @ d2[at : at + chunk]
+            out += [(f, n + 1, float(v)) for n, v in enumerate(sums)]
+        columns = list(zip(*out)) or [(), (), ()]
+        return pa.table({"f": pa.array(columns[0], pa.int32()), "p": pa.array(columns[1], pa.int32()),
+                         "part": pa.array(columns[2], pa.float64())})
+
+    return run
+
+
+def _permuted_within(pairs: DataFrame, labels: DataFrame, permutations: int, tile: int) -> DataFrame:
+    """``(factor, p, ss_within)`` for every permutation.
+
+    Sites are cut into tiles.  A cell holds the pairs of two tiles and both tiles' label codes under
+    all permutations, and gives one sum per factor and permutation.
+    """
+    spark = pairs.sparkSession
+    sites = _Sites(labels)
+    shared = spark.sparkContext.broadcast(sites)
+    tiles = max(1, -(-len(sites.names) // tile))
+    numbers = spark.range(1, permutations + 1, numPartitions=min(permutations, 4 * spark.sparkContext.defaultParallelism))
+    codes = numbers.mapInArrow(_permuting(shared, tiles, tile), CODES)
+    known = pairs.where("d IS NOT NULL").select("site_i", "site_j", F.col("d").cast("double").alias("d"))
+    cells = known.mapInArrow(_tiled(shared, tile), TILED).groupBy("row", "col")
+    sums = cells.cogroup(codes.groupBy("row", "col")).applyInArrow(
+        _summing(shared, permutations), "f int, p int, part double"
     )
+    factors = spark.createDataFrame(list(enumerate(sites.factors)), "f int, factor string")
+    total = sums.groupBy("f", "p").agg(F.sum("part").alias("ss_within"))
+    return total.join(F.broadcast(factors), "f").select("factor", "p", "ss_within")
 
 
-def permanova_test(pairs: DataFrame, labels: DataFrame, permutations: int = 999) -> DataFrame:
+def permanova_test(
+    pairs: DataFrame, labels: DataFrame, permutations: int = 999, tile: int = TILE
+) -> DataFrame:
     """PERMANOVA with a permutation p-value per factor.
 
-    p = (permutations with F >= observed F, plus 1) / (permutations + 1).
+    p = (permutations with F >= observed F, plus 1) / (permutations + 1); missing where F is.
+    ``tile`` bounds the sites one task sees; it does not change the result.
     """
-    sites = labels.select("site").distinct()
-    extent = labels.agg(
-        F.count_distinct("site").alias("n"), F.count_distinct("factor").alias("factors")
-    ).first()
     observed = permanova(pairs, labels)
-    permuted = _permuted_within(
-        pairs, labels, sites, permutations, extent["n"], extent["factors"]
-    )
+    permuted = _permuted_within(pairs, labels, permutations, tile)
     ratios = (
         permuted.join(_total_squares(pairs, labels), "factor")
         .select("factor", _f_ratio("ss_within").alias("f_perm"))
@@ -175,7 +238,7 @@ def permanova_test(pairs: DataFrame, labels: DataFrame, permutations: int = 999)
     return observed.join(exceed, "factor").select(
         *observed.columns,
         F.lit(permutations).alias("permutations"),
-        ((F.col("exceed") + 1) / (permutations + 1)).alias("p_value"),
+        F.when(F.col("pseudo_f").isNotNull(), (F.col("exceed") + 1) / (permutations + 1)).alias("p_value"),
     )
 
 

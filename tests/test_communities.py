@@ -104,11 +104,13 @@ def test_permutations_are_permutations(spark, long):
         assert len(mine) == len({r["site"] for r in mine}) == len({r["source"] for r in mine}) == SITES
 
 
-@pytest.mark.parametrize("block_bytes", [cm.LABEL_BLOCK_BYTES, SITES * 2 * (cm.LABEL_ROW_BYTES + 28), 64])
-def test_permutation_p_value(monkeypatch, pairs, labels, matrix, groups, long, block_bytes):
-    """Same p whatever the block size, and equal to permuting labels by hand."""
-    monkeypatch.setattr(cm, "LABEL_BLOCK_BYTES", block_bytes)
-    got = {r["factor"]: r for r in cm.permanova_test(pairs, labels, 19).collect()}
+@pytest.mark.parametrize("tile", [cm.TILE, 5, 1])
+def test_permutation_p_value(pairs, labels, matrix, groups, long, tile):
+    """Same p whatever the tiles, and equal to permuting labels by hand."""
+    one = labels.select("site").distinct().selectExpr("'same' AS factor", "site", "'x' AS label")
+    both = labels.unionByName(one.select(labels.columns))
+    got = {r["factor"]: r for r in cm.permanova_test(pairs, both, 19, tile).collect()}
+    assert got["same"]["pseudo_f"] is None and got["same"]["p_value"] is None
     observed, _ = hat_matrix_f(matrix, groups)
     moved = permuted_sites(long.select("site").distinct(), "site", 19).collect()
     exceed = 0
