@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import MOST_BUCKETS, bucketed, slices, worker_copy, written
+from quadrat.llm.common import MOST_BUCKETS, bucketed, byte_letters, slices, worker_copy, written
 
 #: Merge steps of a piece, and tokens of a block.
 WORK = 1 << 16
@@ -71,7 +71,7 @@ class Pair:
 
         self.a_path, self.slow = a_path, None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        letters = _byte_letters()
+        letters = byte_letters()
         with open(a_path, encoding="utf-8") as file:
             held = json.load(file)
         vocabulary = held["model"]["vocab"] | {t["content"]: t["id"] for t in held.get("added_tokens") or ()}
@@ -153,16 +153,6 @@ class Pair:
         return out
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary.
-
-    Fixed values: printable bytes stand for themselves, the others are numbered from 256 on.
-    """
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [x for x in range(256) if x not in shown]
-    return {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(hidden)}
-
-
 def crossings(a_ends: np.ndarray, b_ends: np.ndarray, work: int) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of each side the merge has passed at each diagonal, first and last included.
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.llm import alignment, centroids, line_quality, queries
-from quadrat.llm.common import ChunkStore, bucketed, crc_fold
+from quadrat.llm.common import bucketed, byte_letters, crc_fold
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, cluster string"
 SMALL = "/root/testdata/sf0.001"
@@ -151,7 +151,7 @@ def token_bytes():
     a = Tokenizer.from_file(A)
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=B)
-    letters = alignment._byte_letters()
+    letters = byte_letters()
     names = {v: k for k, v in a.get_vocab().items()}
 
     def of_b(i):
@@ -255,21 +255,6 @@ def test_crossings_part_the_merge_evenly_and_no_shared_end():
             assert (a[x:] > passed).all() and (b[y:] > passed).all()
 
 
-def test_chunk_store_forgets_but_stays_right():
-    asked = []
-
-    def encode(chunks):
-        asked.append(len(chunks))
-        return [c.encode() * 2 for c in chunks]
-
-    store = ChunkStore(encode, most_bytes=500)
-    for n in range(20):
-        texts = [[f"w{n}", "the"], ["the", f"v{n}"]]
-        store.learn(texts)
-        assert store.ids(texts[0]) == f"w{n}w{n}thethe".encode()
-    assert len(store.held) < 12 and len(asked) == 20
-
-
 # Line quality
 
 
