@@ -253,19 +253,20 @@ def pack(docs: DataFrame, vocabulary: str, *, end: int = 2, capacity: int = 4096
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, tokens = batch.column("doc_id"), batch.column("doc_tokens")
-            for i in range(batch.num_rows):
-                raw = memoryview(batch.column("ids")[i].as_buffer())
-                at = batch.column("at")[i].values
-                start, length = (at.field(n).to_numpy(zero_copy_only=False) for n in ("start", "length"))
-                crc = [zlib.crc32(raw[4 * s : 4 * (s + n)]) for s, n in zip(start.tolist(), length.tolist())]
-                n = len(crc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([docs_[i].as_py()] * n, pa.int64()), at.field("start"), at.field("length"),
-                     pa.array(crc, pa.int64()), pa.array([tokens[i].as_py()] * n, pa.int64()),
-                     at.field("sequence_id"), at.field("offset")],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-                )
+            listed, held = batch.column("at"), batch.column("ids")
+            sizes = listed.value_lengths().to_numpy()
+            pieces = listed.flatten()
+            start, length = (pieces.field(n).to_numpy(zero_copy_only=False) for n in ("start", "length"))
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            raws = [memoryview(x.as_buffer()) for x in held]
+            spots = zip(row.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist())
+            crc = [zlib.crc32(raws[i][s:e]) for i, s, e in spots]
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(of), pieces.field("start"), pieces.field("length"), pa.array(crc, pa.int64()),
+                 batch.column("doc_tokens").take(of), pieces.field("sequence_id"), pieces.field("offset")],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
 
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return joined.mapInArrow(expand, kind)

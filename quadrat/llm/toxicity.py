@@ -34,6 +34,9 @@ from quadrat.llm.common import add_columns, extended, slices, without, worker_co
 
 PIECE = 5
 BLOCK = 64
+#: Rows scored at a time, and bytes of results that a task keeps for equal texts.
+ROWS_AT_ONCE = 2000
+MOST_KNOWN = 64 << 20
 RESULT = ("toxicity", "is_toxic", "neighbours", "matched")
 EVIDENCE = "array<struct<doc_id: bigint, similarity: double, toxic: int>>"
 
@@ -207,6 +210,15 @@ def with_terms(documents: DataFrame, terms: list[str]) -> DataFrame:
     return documents.mapInArrow(run, extended(documents, ("terms", kind)))
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """In how many texts of the task each term is."""
+    found = np.zeros(size, dtype=np.int64)
+    for batch in batches:
+        found += np.bincount(batch.column("terms").flatten().field("t").to_numpy(), minlength=size)
+    at = np.nonzero(found)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at])], names=["t", "n"])
+
+
 def _build(terms: list[str], df: np.ndarray, n_docs: int, examples, k: int) -> Index:
     """Index of the example rows (doc_id, toxic, terms), ordered by their strongest term."""
     idf = np.log((1 + n_docs) / (1 + df)) + 1e-3
@@ -308,9 +320,9 @@ def fit_and_mark(
         spread = examples.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism, "doc_id")
         terms = chosen_terms(spread, sizes, most_terms, least_chi)
     marked = written(with_terms(without(documents, *RESULT, "terms"), terms), "toxicity-terms")
-    counts = (
-        marked.select(F.explode("terms.t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
-    )
+    size = len(terms)
+    partial = marked.select("terms").mapInArrow(lambda it: _frequencies(it, size), "t int, n bigint")
+    counts = partial.groupBy("t").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(terms))
     for row in counts:
         df[row["t"]] = row["n"]
@@ -330,38 +342,43 @@ def vote(marked: DataFrame, index: Index) -> DataFrame:
     fields = [(n, T._parse_datatype_string(t)) for n, t in result.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, held = shared.value, {}
-        for batch in batches:
-            at = batch.schema.get_field_index("terms")
-            scores, near, matched = [], [], []
-            for pairs in batch.column(at).to_pylist():
-                key = tuple((p["t"], p["n"]) for p in pairs)
-                if key not in held:
-                    if len(held) > 50_000:
-                        held.clear()
-                    t = np.array([p[0] for p in key], dtype=np.int64)
-                    score, found, similarity = index.score(t, np.array([p[1] for p in key], dtype=float))
-                    evidence = [
-                        {"doc_id": int(index.ids[i]), "similarity": float(s), "toxic": int(index.labels[i])}
-                        for i, s in zip(found, similarity)
-                    ]
-                    held[key] = score, evidence, [index.terms[i] for i in t]
-                score, evidence, words = held[key]
-                scores.append(score)
-                near.append(evidence)
-                matched.append(words)
-            rest = pa.RecordBatch.from_arrays(
-                [c for i, c in enumerate(batch.columns) if i != at],
-                names=[n for i, n in enumerate(batch.schema.names) if i != at],
-            )
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-            yield add_columns(
-                rest,
-                toxicity=pa.array(scores, pa.float64()),
-                is_toxic=pa.array([int(s >= 0.5) for s in scores], pa.int32()),
-                neighbours=pa.array(near, kind),
-                matched=pa.array(matched, pa.list_(pa.string())),
-            )
+        index = shared.value
+        words, labels = pa.array(index.terms, pa.string()), index.labels.astype(np.int32)
+        held: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
+        size = 0
+        for whole in batches:
+            at = whole.schema.get_field_index("terms")
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                lists = batch.column(at)
+                t, n = (lists.flatten().field(c).to_numpy() for c in ("t", "n"))
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                scores, near = [], []
+                for a, b in zip(ends[:-1], ends[1:]):
+                    key = t[a:b].tobytes() + n[a:b].tobytes()
+                    if key not in held:
+                        if size > MOST_KNOWN:
+                            held, size = {}, 0
+                        held[key] = index.score(t[a:b].astype(np.int64), n[a:b].astype(float))
+                        # About what an entry and its objects take besides the numbers.
+                        size += len(key) + 16 * len(held[key][1]) + 600
+                    scores.append(held[key][0])
+                    near.append(held[key][1:])
+                found = np.concatenate([f for f, _ in near]).astype(np.int64)
+                similar = np.concatenate([x for _, x in near])
+                stops = np.concatenate([[0], np.cumsum([len(f) for f, _ in near])]).astype(np.int32)
+                evidence = pa.StructArray.from_arrays(
+                    [pa.array(index.ids[found], pa.int64()), pa.array(similar, pa.float64()), pa.array(labels[found])],
+                    names=["doc_id", "similarity", "toxic"],
+                )
+                matched = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.take(pa.array(t)))
+                rest = [i for i in range(batch.num_columns) if i != at]
+                yield add_columns(
+                    pa.RecordBatch.from_arrays([batch.column(i) for i in rest], names=[batch.schema.names[i] for i in rest]),
+                    toxicity=pa.array(scores, pa.float64()),
+                    is_toxic=pa.array([int(s >= 0.5) for s in scores], pa.int32()),
+                    neighbours=pa.ListArray.from_arrays(pa.array(stops), evidence), matched=matched,
+                )
 
     return marked.mapInArrow(run, extended(kept, *fields))
 
