@@ -1,37 +1,144 @@
-"""Pairs within buckets, and connected components, as Spark joins."""
+"""Pairs within buckets, and connected components, as Spark joins.
+
+Distances are metrics, so members of a group of near copies need not be compared with each other.
+Members of large buckets have a leader and ``q``, their distance from it in steps of which
+``STEPS`` make the limit, rounded up.  Two members of one leader whose steps add up to at most
+``STEPS`` are linked for sure: such links are counted by running sums over steps, connected through
+the leader, and never compared.  All other pairs meet in cells.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import written
 
 
-def tiles(rows: DataFrame, tile: int = 256) -> DataFrame:
-    """``rows`` (key, id, n: rows with this key, ...) dealt so that pairs of one key meet.
+STEPS = 200
+#: Members of one leader in bands of this many steps; the last two hold the limit and all others.
+BAND = 25
+OTHERS = STEPS // BAND + 1
+#: Members of one leader are dealt over this many tasks before Spark splits hot partitions further.
+SALTS = 16
+
+
+def beside(rows: DataFrame, heads: DataFrame, *on: str) -> DataFrame:
+    """``rows`` (id, ...) with the one row of ``heads`` that has the same ``on``, hot keys salted."""
+    salt = F.pmod(F.xxhash64("id", F.lit("beside")), F.lit(SALTS)).cast("int")
+    every = heads.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("salt", salt).join(every, [*on, "salt"]).drop("salt")
+
+
+def _head():
+    """Of the members of a bucket the one with most copies leads: likely the text others derive from."""
+    return F.max(F.struct("copies", F.xxhash64("id", F.lit("head")).alias("h"), F.col("id").alias("leader")))
+
 
-    A key with more than ``tile`` rows is cut into groups by a hash of the id.  Every pair of
-    groups is a cell (key, low, high), so no cell holds more than about two tiles; pairs within
-    a group meet in the cell low = high, others only across ``mine``.  Partitions hold whole
-    cells, in order, for ``chunks``.
+def spots(buckets: DataFrame, measure: Callable[[DataFrame], DataFrame], tile: int = 256) -> DataFrame:
+    """``id``, ``leader``, ``q``, ``copies`` of members of large buckets within the limit of their leader.
+
+    ``buckets``: key, id, n, copies.  ``measure`` adds ``q`` to rows (id, leader).
     """
-    groups = F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int")
-    cut = rows.withColumn("groups", groups).withColumn(
-        "mine", F.pmod(F.xxhash64("id", F.lit("tile")), F.col("groups")).cast("int")
+    large = buckets.where(F.col("n") > tile)
+    heads = large.groupBy("key").agg(_head().alias("head"))
+    chosen = beside(large, heads, "key").groupBy("id").agg(
+        F.max("head").alias("head"), F.any_value("copies").alias("copies")
+    )
+    chosen = written(chosen.select("id", "head.leader", "copies"), "grouping-leaders")
+    measured = measure(chosen.select("id", "leader")).select("id", F.col("q").cast("int").alias("q"))
+    return written(chosen.join(measured.where(F.col("q") <= STEPS), "id"), "grouping-spots")
+
+
+def sure_links(found: DataFrame) -> DataFrame:
+    """Links of ``spots`` that need no comparison, as ``tally`` gives them."""
+    bins = found.groupBy("leader", "q").agg(F.sum("copies").alias("c"))
+    # At most STEPS + 1 rows of a leader: its running sums are one small array.
+    sums = bins.groupBy("leader").agg(F.collect_list(F.struct("q", "c")).alias("bins"))
+    within = F.aggregate(
+        F.filter("bins", lambda b: b["q"] + F.col("at") <= STEPS), F.lit(0).cast("long"), lambda s, b: s + b["c"]
     )
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("groups") - 1),
-        lambda g: F.struct(F.least(g, F.col("mine")).alias("low"), F.greatest(g, F.col("mine")).alias("high")),
+    reach = sums.withColumn("at", F.explode(F.transform("bins", lambda b: b["q"]))).select(
+        "leader", F.col("at").alias("q"), within.alias("reach")
     )
-    spread = cut.withColumn("meet", F.explode(meets)).select(
-        *[c for c in rows.columns if c != "n"], "mine", "meet.low", "meet.high"
+    own = F.when(F.col("q") * 2 <= STEPS, F.col("copies")).otherwise(0)
+    counted = beside(found, reach, "leader", "q").select(
+        F.col("id").alias("a"), F.lit(None).cast(found.schema["id"].dataType).alias("b"),
+        (F.col("reach") - own).alias("links"),
     )
-    return together(spread)
+    edges = found.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"), F.lit(0).alias("links"))
+    rows = counted.where("links > 0").unionByName(edges)
+    return rows.select("a", "b", F.col("links").cast("long").alias("links"), *[
+        F.lit(0).cast("long").alias(c) for c in ("once", "twice")
+    ])
+
+
+def tiles(rows: DataFrame, found: DataFrame, tile: int = 256) -> DataFrame:
+    """``rows`` (key, id, n: rows with this key, copies, ...) dealt so that pairs of one key meet.
+
+    A key with more than ``tile`` rows is cut into bands by the steps from its leader, and bands
+    into tiles by a hash of the id.  Every pair of tiles is a cell (key, low, high), but for
+    tiles whose members are all linked for sure.  No cell holds more than about two tiles; pairs
+    within a tile meet in the cell low = high, others only across ``mine``.  Partitions hold
+    whole cells, in order, for ``chunks``.  Adds ``leader`` and ``q`` (null without a leader).
+    """
+    rows = rows.join(found.select("id", "leader", "q"), "id", "left")
+    large = rows.where(F.col("n") > tile)
+    small = rows.where(F.col("n") <= tile).drop("n").select(
+        "*", *[F.lit(0).alias(c) for c in ("mine", "low", "high")]
+    )
+    # The bands follow the leader that most members of the bucket have.
+    votes = large.where("leader IS NOT NULL").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("v"))
+    chief = votes.groupBy("key").agg(F.max(F.struct("v", "leader")).alias("chief"))
+    members = large.select("key", "id", "leader", "q")
+    keys = members.select("key").distinct().join(chief.select("key", "chief.leader"), "key", "left")
+    keys = keys.withColumnRenamed("leader", "chief")
+    band = F.when(F.col("leader") == F.col("chief"), F.floor(F.col("q") / BAND)).otherwise(OTHERS).cast("int")
+    placed = written(beside(members, keys, "key").select("key", "id", band.alias("band")), "grouping-bands")
+    counts = placed.groupBy("key").agg(*[
+        F.ceil(F.sum(F.when(F.col("band") == b, 1).otherwise(0)) / tile).cast("int").alias(f"g{b}")
+        for b in range(OTHERS + 1)
+    ])
+    from_, parts = F.lit(0), []
+    for b in range(OTHERS + 1):
+        parts.append(F.struct(from_.alias("from"), F.col(f"g{b}").alias("n")))
+        from_ = from_ + F.col(f"g{b}")
+    counts = counts.select("key", F.array(*parts).alias("tiles"))
+
+    def top(b):
+        return F.least(b * BAND + (BAND - 1), F.lit(STEPS))
+
+    def partners(b: int):
+        part = F.get("tiles", F.lit(b))
+        alike = (F.col("band") != OTHERS) & (top(F.col("band")) + top(F.lit(b)) <= STEPS) & F.lit(b != OTHERS)
+        return F.when((part["n"] > 0) & ~alike, F.sequence(part["from"], part["from"] + part["n"] - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+
+    here = F.get("tiles", F.col("band"))
+    mine = here["from"] + F.pmod(F.xxhash64("id", F.lit("tile")), here["n"]).cast("int")
+    meets = beside(placed, counts, "key").select(
+        "key", "id", mine.alias("mine"), F.flatten(F.array(*[partners(b) for b in range(OTHERS + 1)])).alias("others")
+    )
+    meets = meets.withColumn("other", F.explode("others")).select(
+        "key", "id", "mine", F.least("other", "mine").alias("low"), F.greatest("other", "mine").alias("high")
+    )
+    return together(small.unionByName(large.drop("n").join(meets, ["key", "id"])))
+
+
+def unsure(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs (i, j) of rows with ``leader`` and ``q`` are not linked for sure."""
+    codes = pc.dictionary_encode(table.column("leader")).combine_chunks()
+    if isinstance(codes, pa.ChunkedArray):
+        codes = codes.chunk(0) if codes.num_chunks else pa.array([], pa.string()).dictionary_encode()
+    leader = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    q = table.column("q").fill_null(STEPS + 1).to_numpy()
+    return lambda i, j: (leader[i] != leader[j]) | (q[i].astype(np.int64) + q[j] > STEPS)
 
 
 def together(cells: DataFrame) -> DataFrame:

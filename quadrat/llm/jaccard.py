@@ -5,7 +5,8 @@ every class down one random path: the first step is the smallest shingle under o
 random orders (a sampled token of the set), so classes with Jaccard similarity s share it with
 probability s.  Buckets above a limit are split again by 1 / threshold sampled tokens on
 average, until they are small or keep half of their parent, which means they are alike; their
-pairs are compared by brute force, in cells of bounded size.  Candidates pass a one-bit sketch,
+pairs are compared by brute force, in cells of bounded size, but for pairs of near copies
+that their distances from a common leader link already (``grouping``).  Candidates pass a one-bit sketch,
 five deviations wide, and are verified on whole sets.  The pairs of classes not seen are estimated
 from those that one run and two runs saw (Chao); several buckets of one run count once.  They
 are set against half the linked classes, not against links: a class counts once however many
@@ -31,7 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import without, written
-from quadrat.llm.grouping import FOUND, chunks, components, meetings, tally, tiles, together
+from quadrat.llm.grouping import (
+    FOUND, STEPS, beside, chunks, components, meetings, spots, sure_links, tally, tiles, together, unsure,
+)
 
 COORDINATES = 64
 SKETCH_WORDS = 4
@@ -123,10 +126,10 @@ def _paths(signed: DataFrame, runs: int, threshold: float, limit: int) -> DataFr
         )
 
 
-def _candidates(table: pa.Table, cell: np.ndarray, side: np.ndarray, threshold: float):
+def _candidates(table: pa.Table, cell: np.ndarray, side: np.ndarray, threshold: float, wanted=None):
     """Pairs of a chunk whose sketches agree and whose first common bucket is this one, and hits.
 
-    ``hits``: the runs in which the pair shares a bucket.
+    ``hits``: the runs in which the pair shares a bucket.  ``wanted`` says which pairs to look at.
     """
     n = table.num_rows
     bits = 64 * SKETCH_WORDS
@@ -137,6 +140,9 @@ def _candidates(table: pa.Table, cell: np.ndarray, side: np.ndarray, threshold:
     buckets = [frozenset(k) for k in table.column("buckets").to_pylist()]
     left, right, hits = [], [], []
     for i, j in meetings(cell, side):
+        if wanted is not None:
+            keep = wanted(i, j)
+            i, j = i[keep], j[keep]
         near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= most
         for a, b in zip(i[near].tolist(), j[near].tolist()):
             both = buckets[a] & buckets[b]
@@ -150,7 +156,7 @@ def _candidates(table: pa.Table, cell: np.ndarray, side: np.ndarray, threshold:
 def _needed(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cell, side in chunks(batches):
-            i, j, _ = _candidates(table, cell, side, threshold)
+            i, j, _ = _candidates(table, cell, side, threshold, unsure(table))
             yield from table.take(pa.array(np.unique(np.concatenate([i, j])))).to_batches()
 
     return run
@@ -159,7 +165,7 @@ def _needed(threshold: float):
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cell, side in chunks(batches):
-            i, j, hits = _candidates(table, cell, side, threshold)
+            i, j, hits = _candidates(table, cell, side, threshold, unsure(table))
             lists = table.column("grams").combine_chunks()
             flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             sets = [flat[at[k] : at[k + 1]] for k in range(table.num_rows)]
@@ -175,13 +181,35 @@ def _verify(threshold: float):
     return run
 
 
+def _steps(threshold: float, grams_of: Callable[[DataFrame], DataFrame]):
+    """Distance of members from their leaders, in whole steps rounded up; Jaccard distance is a metric."""
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
+        sets = written(grams_of(ends), "jaccard-leaders")
+        heads = sets.join(pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
+        heads = heads.select(F.col("id").alias("leader"), F.col("grams").alias("head_grams"))
+        both = beside(pairs.join(sets, "id"), heads, "leader").select(
+            "id", F.size("grams").alias("x"), F.size("head_grams").alias("y"),
+            F.size(F.array_intersect("grams", "head_grams")).cast("long").alias("common"),
+        )
+        every = F.col("x") + F.col("y") - F.col("common")
+        part = every * (1_000_000 - round(threshold * 1_000_000))
+        whole = (every - F.col("common")) * (STEPS * 1_000_000)
+        q = F.when(whole <= part * STEPS, F.ceil(whole / F.greatest(part, F.lit(1)))).otherwise(STEPS + 1)
+        return both.select("id", q.alias("q"))
+
+    return measure
+
+
 def class_links(
     signed: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float = 0.8,
     *, recall: float = 0.999, limit: int = 256, runs: int = 8,
 ) -> DataFrame:
     """Links between classes, as ``tally`` gives them; ``signed``: id, copies, path, sketch.
 
-    A pair is handled in the first of the buckets that both members share.  Pairs first meet as
+    Pairs that their distances from a common leader show to be linked are counted without meeting.
+    Any other pair is handled in the first of the buckets that both members share.  Pairs first meet as
     sketches; shingles are made, by ``grams_of``, only for ids that have a candidate, and travel
     only to the cells where they have one.
     """
@@ -189,11 +217,13 @@ def class_links(
         buckets = written(_paths(signed, runs, threshold, limit).distinct(), "jaccard-buckets")
         lists = buckets.groupBy("id").agg(F.collect_set("key").alias("buckets"))
         held = written(signed.select("id", "copies", "sketch").join(lists, "id"), "jaccard-held")
-        cells = tiles(buckets.join(held, "id"), limit)
+        known = spots(buckets.join(held.select("id", "copies"), "id"), _steps(threshold, grams_of), limit)
+        cells = tiles(buckets.join(held, "id"), known, limit)
         need = written(cells.mapInArrow(_needed(threshold), cells.schema), "jaccard-need")
         sets = written(grams_of(need.select("id").distinct()), "jaccard-sets")
         links = written(
-            together(need.join(sets, "id")).mapInArrow(_verify(threshold), FOUND), "jaccard-links"
+            together(need.join(sets, "id")).mapInArrow(_verify(threshold), FOUND).unionByName(sure_links(known)),
+            "jaccard-links",
         )
         each = links.where("b IS NULL").groupBy("a").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"))
         seen = each.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"), F.count(F.lit(1)).alias("n")).first()

@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import written
-from quadrat.llm.grouping import FOUND, chunks, components, meetings, tally, tiles
+from quadrat.llm.grouping import (
+    FOUND, STEPS, beside, chunks, components, meetings, spots, sure_links, tally, tiles, unsure,
+)
 
 
 def usable(vector: str = "embedding"):
@@ -105,7 +107,10 @@ def near_links(classes: DataFrame, dimension: int, threshold: float, recall: flo
             spread = np.sqrt(np.maximum(1 - share**2, 0) / share**2 / max(dimension - 1, 1))
             bound = 6 * np.sqrt((spread**2).sum(axis=1)) / parts
             left, right, hits = [], [], []
+            unknown = unsure(table)
             for i, j in meetings(cell, side):
+                keep = unknown(i, j)
+                i, j = i[keep], j[keep]
                 for at in range(0, len(i), 1 << 14):
                     a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
                     same = codes[a] == codes[b]
@@ -121,11 +126,30 @@ def near_links(classes: DataFrame, dimension: int, threshold: float, recall: flo
             i, j, n = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right, hits))
             yield tally(table.column("id"), i, j, table.column("copies").to_numpy(), n)
 
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (unit(matrix(batch.column(c))) for c in ("embedding", "head"))
+                angle = np.arccos(np.clip(np.einsum("ij,ij->i", x, y), -1, 1))
+                # Rounded up by more than the arc cosine of a rounded number can be wrong.
+                q = np.ceil((angle + 1e-7) / math.acos(threshold) * STEPS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(q)], names=["id", "q"])
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        """Angle of members from their leaders in whole steps; angles are a metric."""
+        heads = classes.select(F.col("id").alias("leader"), F.col("embedding").alias("head"))
+        heads = heads.join(pairs.select("leader").distinct(), "leader", "left_semi")
+        both = beside(pairs.join(classes.select("id", "embedding"), "id"), heads, "leader")
+        return both.select("id", "embedding", "head").mapInArrow(angles, "id bigint, q int")
+
     codes = classes.select("id", "embedding").mapInArrow(keys, "id bigint, key bigint")
     codes = written(codes, "vectors-codes")
     sizes = codes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = tiles(codes.join(sizes, "key").join(classes, "id"))
-    return written(cells.mapInArrow(verify, FOUND.replace("string", "long")), "vectors-links")
+    held = codes.join(sizes, "key")
+    known = spots(held.join(classes.select("id", "copies"), "id"), measure)
+    cells = tiles(held.join(classes, "id"), known)
+    links = cells.mapInArrow(verify, FOUND.replace("string", "long")).unionByName(sure_links(known))
+    return written(links, "vectors-links")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, recall: float = 0.999) -> DataFrame:
