@@ -3,8 +3,8 @@
 Distances are metrics, so members of a group of near copies need not be compared with each other.
 Members of large buckets have a leader and ``q``, their distance from it in steps of which
 ``STEPS`` make the limit, rounded up.  Two members of one leader whose steps add up to at most
-``STEPS`` are linked for sure: such links are counted by running sums over steps, connected through
-the leader, and never compared.  All other pairs meet in cells.
+``STEPS`` are linked for sure: such links are counted by sums over steps, connected through the
+member with the fewest steps, and never compared.  All other pairs meet in cells.
 """
 
 from __future__ import annotations
@@ -36,14 +36,15 @@ def beside(rows: DataFrame, heads: DataFrame, *on: str) -> DataFrame:
 
 
 def _head():
-    """Of the members of a bucket the one with most copies leads: likely the text others derive from."""
+    """The member of a bucket with most copies gives its group a name, the same in every run."""
     return F.max(F.struct("copies", F.xxhash64("id", F.lit("head")).alias("h"), F.col("id").alias("leader")))
 
 
 def spots(buckets: DataFrame, measure: Callable[[DataFrame], DataFrame], tile: int = 256) -> DataFrame:
     """``id``, ``leader``, ``q``, ``copies`` of members of large buckets within the limit of their leader.
 
-    ``buckets``: key, id, n, copies.  ``measure`` adds ``q`` to rows (id, leader).
+    ``buckets``: key, id, n, copies.  ``measure`` gives id and ``q`` for rows (id, leader): steps from
+    one point per leader, the leader itself or another, by the metric of the join.
     """
     large = buckets.where(F.col("n") > tile)
     heads = large.groupBy("key").agg(_head().alias("head"))
@@ -71,7 +72,10 @@ def sure_links(found: DataFrame) -> DataFrame:
         F.col("id").alias("a"), F.lit(None).cast(found.schema["id"].dataType).alias("b"),
         (F.col("reach") - own).alias("links"),
     )
-    edges = found.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"), F.lit(0).alias("links"))
+    # Whoever is linked for sure to any member is so to the one with the fewest steps.
+    least = found.groupBy("leader").agg(F.min(F.struct("q", "id")).alias("least"))
+    edges = beside(found, least, "leader").where((F.col("q") + F.col("least.q") <= STEPS) & (F.col("id") != F.col("least.id")))
+    edges = edges.select(F.col("id").alias("a"), F.col("least.id").alias("b"), F.lit(0).alias("links"))
     rows = counted.where("links > 0").unionByName(edges)
     return rows.select("a", "b", F.col("links").cast("long").alias("links"), *[
         F.lit(0).cast("long").alias(c) for c in ("once", "twice")

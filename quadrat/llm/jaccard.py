@@ -182,16 +182,24 @@ def _verify(threshold: float):
 
 
 def _steps(threshold: float, grams_of: Callable[[DataFrame], DataFrame]):
-    """Distance of members from their leaders, in whole steps rounded up; Jaccard distance is a metric."""
+    """Distance of members from the centre of their leader's group, in whole steps rounded up.
+
+    The centre is the set of shingles that more than half of the group hold, which for edited
+    copies is the text they derive from; it holds at most twice a member's mean.  Jaccard
+    distance is a metric, so it bounds distances between members though no document may equal it.
+    """
 
     def measure(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
-        sets = written(grams_of(ends), "jaccard-leaders")
-        heads = sets.join(pairs.select(F.col("leader").alias("id")).distinct(), "id", "left_semi")
-        heads = heads.select(F.col("id").alias("leader"), F.col("grams").alias("head_grams"))
-        both = beside(pairs.join(sets, "id"), heads, "leader").select(
-            "id", F.size("grams").alias("x"), F.size("head_grams").alias("y"),
-            F.size(F.array_intersect("grams", "head_grams")).cast("long").alias("common"),
+        sets = written(pairs.join(grams_of(pairs.select("id")), "id"), "jaccard-grouped")
+        sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
+        counts = sets.select("leader", F.explode("grams").alias("id")).groupBy("leader", "id").agg(
+            F.count(F.lit(1)).alias("holders")
+        )
+        centres = beside(counts, sizes, "leader").where(F.col("holders") * 2 > F.col("members"))
+        centres = centres.groupBy("leader").agg(F.collect_list("id").alias("centre"))
+        both = beside(sets, centres, "leader").select(
+            "id", F.size("grams").alias("x"), F.size("centre").alias("y"),
+            F.size(F.array_intersect("grams", "centre")).cast("long").alias("common"),
         )
         every = F.col("x") + F.col("y") - F.col("common")
         part = every * (1_000_000 - round(threshold * 1_000_000))
