@@ -5,8 +5,13 @@ with its neighbours and a fixed number of nodes that name it; inside such a grou
 with a new member are scored, and pairs that beat the worst neighbour of either end are
 proposed to it.  Rounds end when few neighbours change.  A search keeps a beam per query,
 starts at entry points (and at the query's own node, if it is indexed) and expands the best open
-nodes by joins with the graph.  Graph and beams use 8-bit codes; the last beam is scored in double
-precision on the original vectors.
+nodes by joins with the graph.  Graph and beams use 16-bit codes, each vector with a scale of its
+own, so that one long vector does not blur the others; the last beam is scored in double precision
+on the original vectors.
+
+Equal vectors form one class, which is one node of the graph.  A class keeps the smallest of its
+ids, one more than a query asks for: no result can hold a larger one, because ties go to the smaller
+id.  A class is searched once for all queries in it.
 
 Every usable row is indexed.  ``entries`` is a fixed number of entry points, the smallest by a
 hash of the id.  Defined results: vectors that are null, zero or hold null or non-finite
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import written
@@ -30,31 +36,61 @@ from quadrat.llm.vectors import matrix, usable
 EDGE = "id bigint, other bigint, score float"
 
 
+STEPS = 32767
+
+
+def _encoded(v: np.ndarray) -> list[bytes]:
+    """Of every vector its scale (float32) and components in steps of it (16 bits)."""
+    scale = (np.abs(v).max(axis=1) / STEPS).astype(np.float32)
+    # A scale too small for a float32 leaves a vector of nearly nothing.
+    step = np.where(scale > 0, scale, np.float32(1)).astype(np.float64)
+    whole = np.clip(np.rint(v / step[:, None]), -STEPS, STEPS).astype(np.int16)
+    return [s.tobytes() + w.tobytes() for s, w in zip(scale, whole)]
+
+
+def _decoded(raw: list[bytes]) -> np.ndarray:
+    if not raw:
+        return np.zeros((0, 0), dtype=np.float32)
+    held = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), -1)
+    scale = np.ascontiguousarray(held[:, :4]).view(np.float32)
+    return np.ascontiguousarray(held[:, 4:]).view(np.int16).astype(np.float32) * scale
+
+
 def _codes(column) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    raw = b"".join(lists.to_pylist())
-    return np.frombuffer(raw, dtype=np.int8).reshape(len(lists), -1).astype(np.float32)
+    return _decoded(lists.to_pylist())
 
 
-def prepared(rows: DataFrame) -> tuple[DataFrame, int]:
-    """id, v (doubles) and code (bytes) of usable rows; the dimension."""
+def _first(rows: DataFrame, group: str, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each group; tasks drop the others before the shuffle."""
+    place = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= F.lit(most)).drop("place")
+
+
+def prepared(rows: DataFrame, top: int) -> tuple[DataFrame, DataFrame, int]:
+    """Classes (id: their smallest, v, code, ids: their ``top`` + 1 smallest), rows (id, class); the dimension."""
     base = rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     base = base.where(usable() & F.col("id").isNotNull())
     stats = base.groupBy(F.size("embedding").alias("d")).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("top")
     )
     most = stats.orderBy(F.desc("n"), "d").first()
-    dimension, top = (most["d"], most["top"]) if most else (1, 1.0)
+    dimension, unit = (most["d"], most["top"]) if most else (1, 1.0)
     base = base.where(F.size("embedding") == dimension).groupBy("id").agg(F.max("embedding").alias("v"))
+    base = written(base, "neighbours-vectors")
+    heads = base.groupBy("v").agg(F.min("id").alias("class"))
+    held = _first(base, "v", ["id"], top + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = held.select(F.element_at("ids", 1).alias("id"), "v", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                code = np.rint(matrix(batch.column("v")) / top * 127).astype(np.int8)
-                raw = pa.array([c.tobytes() for c in code], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=["id", "v", "code"])
+                raw = pa.array(_encoded(matrix(batch.column("v")) / unit), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=["id", "v", "ids", "code"])
 
-    return written(base.mapInArrow(run, "id bigint, v array<double>, code binary"), "neighbours-rows"), dimension
+    schema = "id bigint, v array<double>, ids array<bigint>, code binary"
+    members = base.join(heads, "v").select("id", "class")
+    return written(classes.mapInArrow(run, schema), "neighbours-classes"), members, dimension
 
 
 def _best(ids: np.ndarray, others: np.ndarray, scores: np.ndarray, k: int):
@@ -149,9 +185,8 @@ def descend(rows: DataFrame, dimension: int, k: int, rounds: int = 12, change: f
         new = ~F.array_contains("old", F.col("e.other"))
         edges = flat.select("id", F.col("e.other").alias("other"), new.alias("new"))
         # Of the nodes that name a node, its group takes k, new ones first, by a hash.
-        rank = F.struct(~F.col("new"), F.xxhash64("id", "other").alias("h"), F.col("id").alias("w"), "new")
-        reverse = edges.groupBy("other").agg(F.slice(F.array_sort(F.collect_list(rank)), 1, k).alias("r"))
-        reverse = reverse.select(F.col("other").alias("v"), F.explode("r").alias("r")).select("v", "r.w", "r.new")
+        reverse = _first(edges, "other", [F.desc("new"), F.xxhash64("id", "other"), "id"], k)
+        reverse = reverse.select(F.col("other").alias("v"), F.col("id").alias("w"), "new")
         pairs = edges.select(F.col("id").alias("v"), F.col("other").alias("w"), "new").unionByName(reverse)
         pairs = pairs.groupBy("v", "w").agg(F.max("new").alias("new"))
         least = graph.select(
@@ -184,10 +219,8 @@ def adjacency(graph: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     forward = graph.select("id", F.explode("near").alias("e")).select(
         "id", F.col("e.other").alias("other"), F.col("e.far").alias("far")
     )
-    back = forward.groupBy("other").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("far", F.col("id").alias("w")))), 1, k).alias("r")
-    )
-    back = back.select(F.col("other").alias("node"), F.explode("r").alias("r")).select("node", "r.w")
+    back = _first(forward, "other", ["far", "id"], k)
+    back = back.select(F.col("other").alias("node"), F.col("id").alias("w"))
     every = forward.select(F.col("id").alias("node"), F.col("other").alias("w")).unionByName(back).distinct()
     codes = rows.select(F.col("id").alias("w"), "code")
     return written(
@@ -211,7 +244,10 @@ def search(
     queries: DataFrame, rows: DataFrame, graph: DataFrame, top: int,
     *, k: int, beam: int = 80, width: int = 20, entries: int = 1024, starts: int = 8,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``top`` nearest found of each query (id, v, code)."""
+    """q, near (array of far = -score, vec_id): the ``top`` + 1 nearest ids found of each class in ``queries``.
+
+    The class's own ids are among them.
+    """
     near = adjacency(graph, rows, k)
     fixed = rows.select("id", "code").orderBy(F.xxhash64("id"), "id").limit(entries).collect()
     entry_ids = np.array([r["id"] for r in fixed], dtype=np.int64)
@@ -221,7 +257,7 @@ def search(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.frombuffer(b"".join(entry_codes), dtype=np.int8).reshape(len(entry_ids), -1).astype(np.float32)
+            table = _decoded(entry_codes)
             code = _codes(batch.column("code"))
             scores, q = code @ table.T, batch.column("id").to_numpy()
             best = np.argsort(-scores, axis=1)[:, :starts]
@@ -235,7 +271,7 @@ def search(
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for i in range(batch.num_rows):
-                code = np.frombuffer(batch.column("code")[i].as_py(), dtype=np.int8).astype(np.float32)
+                code = _decoded([batch.column("code")[i].as_py()])[0]
                 ids = np.array(batch.column("ids")[i].as_py(), dtype=np.int64)
                 scores = np.array(batch.column("scores")[i].as_py(), dtype=np.float32)
                 open_ = np.array(batch.column("open")[i].as_py(), dtype=bool)
@@ -268,8 +304,8 @@ def search(
         )
         state = written(state.join(got, "q", "left").mapInArrow(step, BEAM), "neighbours-beam")
 
-    exact = state.select("q", F.explode("ids").alias("w")).where("q <> w")
-    target = rows.select(F.col("id").alias("w"), F.col("v").alias("y"))
+    exact = state.select("q", F.explode("ids").alias("w"))
+    target = rows.select(F.col("id").alias("w"), F.col("v").alias("y"), F.col("ids").alias("found"))
     source = queries.select(F.col("id").alias("q"), F.col("v").alias("x"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,22 +313,26 @@ def search(
             if batch.num_rows:
                 s = np.einsum("ij,ij->i", matrix(batch.column("x")), matrix(batch.column("y")))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("q"), batch.column("w"), pa.array(s)], names=["q", "w", "score"]
+                    [batch.column("q"), batch.column("found"), pa.array(s)], names=["q", "found", "score"]
                 )
 
-    scored = exact.join(target, "w").join(source, "q").select("q", "w", "x", "y")
-    scored = scored.mapInArrow(score, "q bigint, w bigint, score double")
-    ranked = scored.groupBy("q").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "w"))), 1, top).alias("near")
-    )
-    return ranked.select(F.col("q").alias("query_id"), F.posexplode("near").alias("place", "e")).select(
-        "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("e.w").alias("vec_id"),
-        (-F.col("e.far")).alias("score"),
+    scored = exact.join(target, "w").join(source, "q").select("q", "found", "x", "y")
+    scored = scored.mapInArrow(score, "q bigint, found array<bigint>, score double")
+    single = scored.select("q", (-F.col("score")).alias("far"), F.explode("found").alias("vec_id"))
+    return single.groupBy("q").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("far", "vec_id"))), 1, top + 1).alias("near")
     )
 
 
 def nearest(embeddings: DataFrame, every: int = 20, top: int = 20, k: int = 32, **options) -> DataFrame:
-    """The nearest rows of all rows whose vec_id is divisible by ``every``."""
-    rows, dimension = prepared(embeddings)
+    """query_id, rank, vec_id, score: the nearest rows of all rows whose vec_id is divisible by ``every``."""
+    rows, members, dimension = prepared(embeddings, top)
     graph = descend(rows, dimension, k)
-    return search(rows.where(F.col("id") % every == 0), rows, graph, top, k=k, **options)
+    asked = members.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("class").alias("q"))
+    asked = written(asked, "neighbours-queries")
+    classes = rows.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi")
+    found = asked.join(search(classes, rows, graph, top, k=k, **options), "q")
+    others = F.slice(F.filter("near", lambda e: e["vec_id"] != F.col("query_id")), 1, top)
+    return found.select("query_id", F.posexplode(others).alias("place", "e")).select(
+        "query_id", (F.col("place") + 1).cast("int").alias("rank"), "e.vec_id", (-F.col("e.far")).alias("score")
+    )
