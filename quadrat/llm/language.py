@@ -120,16 +120,15 @@ def fit(
     learn: Column | None = None,
     *,
     texts_per_language: int = 3000,
-    most_languages: int = 64,
 ) -> Model | None:
     """Learn from the non-null ``text`` and ``lang`` of rows where ``learn`` holds.
 
-    The fit is bounded by two parameters: at most ``texts_per_language`` texts of each of
-    the ``most_languages`` commonest labels, chosen by a hash of the text.
+    Every label is learned.  The sample is bounded by ``texts_per_language`` texts of each
+    label, chosen by a hash of the text.
     """
     rows = documents.select("text", "lang", (F.lit(True) if learn is None else learn).alias("learn"))
     rows = rows.where("learn AND text IS NOT NULL AND lang IS NOT NULL").drop("learn")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
     languages = sorted(row["lang"] for row in counts)
@@ -137,10 +136,10 @@ def fit(
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
     dice = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     # About a fifth too many by share, then exactly: only chosen texts are shuffled.
-    chosen = rows.where(F.col("lang").isin(languages)).where(dice < share[F.col("lang")])
+    chosen = rows.where(dice < share[F.col("lang")])
     order = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     chosen = chosen.withColumn("place", F.row_number().over(order))
-    chosen = chosen.where(F.col("place") <= texts_per_language).drop("place")
+    chosen = chosen.where(F.col("place") <= F.lit(texts_per_language)).drop("place")
     counted = (
         chosen.repartition(2 * len(languages), F.xxhash64("text"))
         .mapInArrow(lambda it: _count(it, languages), "kind int, row int, lang int, n bigint")
@@ -203,8 +202,9 @@ class Labeller:
             sums = np.add.reduceat(self.model.logp[bucket], starts, axis=0)
             allowed = np.logical_or.reduceat(self.model.uses[scripts], starts, axis=0)
             some = allowed.any(axis=1)
-            sums = np.where(allowed, sums, np.float32(-1e4))
-            sums -= sums.max(axis=1, keepdims=True)
+            # Below every candidate, however long the word is.
+            sums -= np.where(allowed | ~some[:, None], sums, -np.inf).max(axis=1, keepdims=True)
+            sums = np.where(allowed, sums, np.minimum(sums.min(axis=1, keepdims=True), 0) - np.float32(1e4))
             place = top - len(new) + at
             self.scores[place] = np.where(some[:, None], sums, 0)
             self.sizes[place] = np.fromiter(map(len, kept), dtype=np.int32, count=len(kept))
@@ -243,7 +243,7 @@ class Labeller:
             return path
         active = np.searchsorted(-counts, -np.arange(1, longest + 1), side="right")
         switched = np.zeros((len(flat), k), dtype=bool)
-        came = np.zeros(len(flat), dtype=np.int8)
+        came = np.zeros(len(flat), dtype=np.int32)
         value = self.scores[flat[starts[: active[0]]]]
         ended: list[np.ndarray] = []
         for t in range(1, longest):
