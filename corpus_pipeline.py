@@ -1,19 +1,23 @@
 """A training-corpus pipeline: language, toxicity, near duplicates, mixture, packing.
 
 Each stage reads what its predecessor wrote.  All but the last return the columns of
-``documents``; the last returns the pieces of the packed sequences.
+``documents``; the last returns the pieces of the packed sequences.  A stage's intermediate tables
+go when the next one begins, whose input is written by then.
 """
 
 from __future__ import annotations
 
+import functools
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.llm import jaccard, language, mixing, packing, queries, toxicity
 from quadrat.llm.common import crc_fold, table
-from quadrat.session import shared_folder
+from quadrat.session import noting, release, shared_folder
 
 # Stages are iterative or trained, so SQL cannot express the rows.
 ORACLE_SQL = None
@@ -54,13 +58,34 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     return packing.pack(docs, queries.vocabulary())
 
 
-STAGES = [
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_turn(stages: list[tuple[str, Stage]]) -> list[tuple[str, Stage]]:
+    """The stages, each of which first deletes the intermediate tables of the one before it.
+
+    The one before it is the last that ran in its session and thread.
+    """
+    held: dict[tuple, list[str]] = {}
+
+    def turn(stage: Stage, spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        paths = held.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
+        release(spark, paths)
+        with noting() as written:
+            out = stage(spark, docs, folder)
+        paths += written
+        return out
+
+    return [(name, functools.partial(turn, stage)) for name, stage in stages]
+
+
+STAGES = in_turn([
     ("language_id", keep_known_language),
     ("toxicity", drop_toxic),
     ("jaccard_join", one_of_each_group),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
-]
+])
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.session import materialise, shared_folder
+from quadrat.session import materialise, own_path
 
 
 #: As many as Spark allows by default.
@@ -26,7 +26,7 @@ def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends here."""
     if codec is None:
         return materialise(df, label)
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, f"{label}-{uuid.uuid4().hex}")
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -38,7 +38,7 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int, codec: str = "sn
     """
     spark = df.sparkSession
     name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").option("path", f"{shared_folder(spark)}/{name}")
+    writer = df.write.format("parquet").option("path", own_path(spark, name))
     writer.option("compression", codec).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     held = spark.table(name)
     held.schema  # resolved while it has its name

@@ -86,13 +86,14 @@ def _planned(
     plan = written(demand(sizes.select("source", "source_size"), schedules, share, passes, steps), "mixing-plan")
     buckets = max(1, -(-rows.count() // bucket_rows))
     bucket = F.floor((F.col("dice_") / 2.0**64 + 0.5) * buckets).cast("bigint")
-    rows = rows.withColumn("bucket_", bucket)
-    sums = rows.groupBy("source", "bucket_").agg(F.sum("size").alias("held"))
+    # Texts stay where they were written: only numbers are dealt out, sorted and counted.
+    light = rows.select("source", "row_", "doc_id", "dice_", "size", bucket.alias("bucket_"))
+    sums = light.groupBy("source", "bucket_").agg(F.sum("size").alias("held"))
     earlier = W.partitionBy("source").orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("source", "bucket_", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
     inside = W.partitionBy("source", "bucket_").orderBy("dice_", "doc_id", "row_").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    r, s, p = rows.alias("r"), sums.alias("s"), plan.alias("p")
+    light = light.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    r, s, p = light.alias("r"), sums.alias("s"), plan.alias("p")
     joined = r.join(s, F.expr("r.source <=> s.source AND r.bucket_ = s.bucket_")).join(p, F.expr("r.source <=> p.source"))
     start = F.col("s.base") + F.col("r.inner")
     size, source_size, target = F.col("r.size"), F.col("p.source_size"), F.col("p.target")
@@ -113,15 +114,17 @@ def _planned(
 
     times = F.ceil(taken / F.nullif(size, F.lit(0))).cast("int")
     every = F.transform(F.sequence(F.lit(0), times - 1), lambda n: moment(start + n * source_size))
-    return joined.select(
-        *[F.col(f"r.`{c}`") for c in base.columns],
-        F.col("r.size").alias("size"),
-        F.col("p.source_size").alias("source_size"),
-        F.col("p.target").alias("target"),
+    places = joined.select(
+        "row_",
+        source_size,
+        target,
         taken.alias("taken"),
         moment(start).alias("position"),
         F.when(taken > 0, every).otherwise(F.array().cast("array<double>")).alias("positions"),
     )
+    # Written, since a sort by range computes its input twice.
+    placed = rows.join(written(places, "mixing-places"), "row_")
+    return placed.select(*[F.col(f"`{c}`") for c in base.columns], *RESULT)
 
 
 def mix(docs: DataFrame, schedules: list[list[float]], **plan) -> DataFrame:
