@@ -11,6 +11,7 @@ from quadrat.operators.joins import null_safe_join
 from quadrat.operators.regression import trend_lines
 from quadrat.operators.summaries import error_bounds
 from quadrat.plans import survey
+from quadrat.session import materialise
 
 Limits = tuple[float, float] | None
 
@@ -78,9 +79,10 @@ def points_with_trend(
 ) -> DataFrame:
     """Points with error bounds, next to the straight line of their series.
 
-    Points outside the limits are dropped before the line is fitted.
+    Points outside the limits are dropped before the line is fitted.  The points are written once:
+    both they and the line would otherwise be computed from the observations.
     """
-    shown = points(df, x, y, se, x_limits, y_limits, group)
+    shown = materialise(points(df, x, y, se, x_limits, y_limits, group), "figure-points")
     if group is None:
         line = trend_lines(shown, "x", "y").select(F.struct("slope", "intercept")).scalar()
         fitted = shown.withColumn("line", line)
