@@ -100,3 +100,15 @@ def test_richness_and_evenness(spark):
     assert got["one"] == (1, None) and got["none"] == (0, None) and "gone" not in got
     spread = (math.log(100) / 2) ** 2
     assert got["skewed"][1] == pytest.approx(1 - 2 / math.pi * math.atan(spread))
+
+
+def test_trait_counts_move_each_row_once(spark):
+    rows = [(f"h{i % 3}", f"p{i % 5}", None if i % 7 == 0 else f"q{i % 4}") for i in range(60)]
+    df = spark.createDataFrame(rows, "house string, p string, q string")
+    counts = trait_counts(df, ["house"], {"p": "np", "q": "nq"}, "q0")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    for row in counts.collect():
+        mine = [r for r in rows if r[0] == row["house"]]
+        assert row["np"] == len({p for _, p, _ in mine})
+        assert row["nq"] == len({q for _, _, q in mine} - {"q0"})
