@@ -236,3 +236,38 @@ def test_groups_with_a_missing_key_stay(spark):
     )
     with pytest.raises(Exception, match="no level 'r'"):
         interaction_coefficients(df, "y", "x", "g", "r", ["who"]).collect()
+
+
+@pytest.mark.parametrize("unit", [1 << 19, 40, 7])
+def test_kendall_in_units_matches_brute_force(spark, unit, monkeypatch):
+    from quadrat.operators import correlation
+
+    met = []
+    score = correlation._score
+    monkeypatch.setattr(correlation, "_score", lambda cells, *rest: met.append(cells.count()) or score(cells, *rest))
+    rng = np.random.default_rng(11)
+    data = {
+        "fine": (rng.normal(size=150), rng.normal(size=150)),
+        # One x value holds two thirds of the cells, so no cut can part them.
+        "heavy": (np.where(rng.random(120) < 0.66, 3.0, rng.integers(0, 9, 120)), rng.normal(size=120)),
+        None: (rng.integers(0, 30, 25).astype(float), rng.integers(0, 3, 25).astype(float)),
+        "odd": (np.array([math.inf, 1.0, -math.inf, 2.0]), np.array([1.0, 2.0, 3.0, math.inf])),
+    }
+    rows = [(g, float(a), float(b)) for g, (x, y) in data.items() for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["g"]: r for r in kendall(df, "x", "y", ["g"], unit=unit, y_block=5).collect()}
+    for g, (x, y) in data.items():
+        s = sum((a < b) * 1 - (a > b) for i, a in enumerate(y) for b, q in zip(y[i:], x[i:]) if q > x[i])
+        s -= sum((a < b) * 1 - (a > b) for i, a in enumerate(y) for b, q in zip(y[i:], x[i:]) if q < x[i])
+        assert got[g]["s"] == s and got[g]["n"] == len(x)
+    # Cells are scored in their units; only counts of blocks go through all bits.
+    assert sum(met) <= 4 * (2 * -(-150 // unit)) ** 2
+    assert bool(met) == (unit < 150)
+
+
+def test_signed_pairs_do_not_overflow():
+    from quadrat.operators.correlation import _signed_pairs
+
+    w = np.array([1 << 40, 1 << 40, 3])
+    x, y = np.array([1.0, 2.0, 2.0]), np.array([1.0, 2.0, 0.0])
+    assert _signed_pairs(x, y, w) == (1 << 80) - 3 * (1 << 40)
