@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadrat.llm import toxicity
+from quadrat.session import noting
 
 DOCS = "doc_id bigint, text string"
 
@@ -110,3 +113,34 @@ def test_one_label_or_none(spark, labels):
     docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(5)], DOCS)
     rows = toxicity.score(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
     assert len(rows) == 5 and all(0 <= r["toxicity"] <= 1 for r in rows)
+
+
+def test_texts_are_read_as_a_plain_loop_reads_them():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeß", k=rng.randint(1, 9))) for _ in range(300)]
+    terms = sorted({t for w in words[:40] for t in toxicity.terms_of(w)})
+    known = sorted(words[:200])
+    odd = [" \x1c\x85 x y", "", None, "123 ... ", " a-b  İx ", "ab" * 3000 + " ab", "İİİ ẞ"]
+    texts = odd + [" ".join(rng.choice(["", "-", "###"]) + rng.choice(words).title() for _ in range(50)) for _ in range(60)]
+    read = toxicity._Reader(terms, known).read(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        chunks = (text or "").split()
+        held = Counter(terms.index(t) for c in chunks for t in toxicity.terms_of(c) if t in terms)
+        a, b = read.term_ends[i : i + 2]
+        assert list(zip(read.terms[a:b], read.term_counts[a:b])) == sorted(held.items())
+        said = Counter(w for w in map(toxicity.word_of, chunks) if w)
+        a, b = read.word_ends[i : i + 2]
+        assert list(zip(read.words[a:b], read.word_counts[a:b])) == sorted(
+            (known.index(w), n) for w, n in said.items() if w in known
+        )
+        assert np.isclose(read.other[i], sum((1 + np.log(n)) ** 2 for w, n in said.items() if w not in known))
+
+
+def test_no_table_as_long_as_the_documents_is_written(spark):
+    bad = "you utter slimewit and grubface go away"
+    docs = [(i, bad if i % 3 == 0 else f"a calm note about garden number{i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    with noting() as paths:
+        rows = toxicity.score(spark.createDataFrame(docs, DOCS), labels).collect()
+    assert len(rows) == 300 and all(r["is_toxic"] == int(r["doc_id"] % 3 == 0) for r in rows)
+    assert paths and all(spark.read.parquet(p).count() <= 60 for p in paths)
