@@ -85,27 +85,28 @@ def sure_links(found: DataFrame) -> DataFrame:
 def tiles(rows: DataFrame, found: DataFrame, tile: int = 256) -> DataFrame:
     """``rows`` (key, id, n: rows with this key, copies, ...) dealt so that pairs of one key meet.
 
-    A key with more than ``tile`` rows is cut into bands by the steps from its leader, and bands
-    into tiles by a hash of the id.  Every pair of tiles is a cell (key, low, high), but for
+    A key with more than ``tile`` rows (more than its ``room``, if ``rows`` have that column) is cut into
+    bands by the steps from its leader, and bands into tiles by a hash of the id.  Every pair of tiles is a cell (key, low, high), but for
     tiles whose members are all linked for sure.  No cell holds more than about two tiles; pairs
     within a tile meet in the cell low = high, others only across ``mine``.  Partitions hold
     whole cells, in order, for ``chunks``.  Adds ``leader`` and ``q`` (null without a leader).
     """
     rows = rows.join(found.select("id", "leader", "q"), "id", "left")
-    large = rows.where(F.col("n") > tile)
-    small = rows.where(F.col("n") <= tile).drop("n").select(
+    rows = rows.withColumn("room", F.col("room") if "room" in rows.columns else F.lit(tile))
+    large = rows.where(F.col("n") > F.col("room"))
+    small = rows.where(F.col("n") <= F.col("room")).drop("n", "room").select(
         "*", *[F.lit(0).alias(c) for c in ("mine", "low", "high")]
     )
     # The bands follow the leader that most members of the bucket have.
     votes = large.where("leader IS NOT NULL").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("v"))
     chief = votes.groupBy("key").agg(F.max(F.struct("v", "leader")).alias("chief"))
-    members = large.select("key", "id", "leader", "q")
+    members = large.select("key", "id", "leader", "q", "room")
     keys = members.select("key").distinct().join(chief.select("key", "chief.leader"), "key", "left")
     keys = keys.withColumnRenamed("leader", "chief")
     band = F.when(F.col("leader") == F.col("chief"), F.floor(F.col("q") / BAND)).otherwise(OTHERS).cast("int")
-    placed = written(beside(members, keys, "key").select("key", "id", band.alias("band")), "grouping-bands")
+    placed = written(beside(members, keys, "key").select("key", "id", "room", band.alias("band")), "grouping-bands")
     counts = placed.groupBy("key").agg(*[
-        F.ceil(F.sum(F.when(F.col("band") == b, 1).otherwise(0)) / tile).cast("int").alias(f"g{b}")
+        F.ceil(F.sum(F.when(F.col("band") == b, 1).otherwise(0)) / F.max("room")).cast("int").alias(f"g{b}")
         for b in range(OTHERS + 1)
     ])
     from_, parts = F.lit(0), []
@@ -132,7 +133,7 @@ def tiles(rows: DataFrame, found: DataFrame, tile: int = 256) -> DataFrame:
     meets = meets.withColumn("other", F.explode("others")).select(
         "key", "id", "mine", F.least("other", "mine").alias("low"), F.greatest("other", "mine").alias("high")
     )
-    return together(small.unionByName(large.drop("n").join(meets, ["key", "id"])))
+    return together(small.unionByName(large.drop("n", "room").join(meets, ["key", "id"])))
 
 
 def unsure(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:

@@ -41,6 +41,9 @@ SKETCH_WORDS = 4
 # The low bits of a bucket's key hold its run.
 RUN_BITS = 10
 MOST_RUNS = 256
+#: A tile of a bucket holds so many classes or shingles, but no fewer classes than the limit of a bucket.
+TILE = 2048
+TILE_SHINGLES = 4 << 20
 RESULT = ("class_id", "copy_id", "n_links", "kept")
 
 
@@ -86,8 +89,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(names, pa.string()),
                     pa.ListArray.from_arrays(pa.array(rows * COORDINATES, pa.int32()), pa.array(coordinates.ravel())),
                     pa.ListArray.from_arrays(pa.array(rows * SKETCH_WORDS, pa.int32()), pa.array(packed.ravel())),
+                    pa.array(lengths, pa.int32()),
                 ],
-                names=["row_", "id", "path", "sketch"],
+                names=["row_", "id", "path", "sketch", "size"],
             )
 
 
@@ -95,19 +99,21 @@ def _key(run: Column, *parts: Column) -> Column:
     return F.shiftleft(F.shiftright(F.xxhash64(*parts), RUN_BITS), RUN_BITS).bitwiseOR(run)
 
 
-def _paths(signed: DataFrame, runs: int, threshold: float, limit: int) -> DataFrame:
-    """Final buckets of all runs: key, id, n (size of the bucket, at least 2)."""
+def _paths(signed: DataFrame, runs: range, threshold: float, limit: int) -> DataFrame:
+    """Final buckets of ``runs``: key, id, n (size of the bucket, at least 2), room (classes a tile of it holds)."""
     first = F.array(*[
-        _key(F.lit(r).cast("long"), F.lit(r), F.get("path", F.lit(r % COORDINATES))) for r in range(runs)
+        _key(F.lit(r).cast("long"), F.lit(r), F.get("path", F.lit(r % COORDINATES))) for r in runs
     ])
-    rows = signed.select("id", F.explode(first).alias("key"), F.lit(None).cast("long").alias("parent"))
+    rows = signed.select("id", "size", F.explode(first).alias("key"), F.lit(None).cast("long").alias("parent"))
+    room = F.least(F.lit(TILE), F.floor(F.col("n") * TILE_SHINGLES / F.greatest("held", F.lit(1))))
+    room = F.greatest(F.lit(limit), room).cast("int").alias("room")
     done = None
     while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).where("n > 1")
         rows = written(rows.join(sizes, "key"), "jaccard-level")
         # A bucket that keeps half of its parent is alike already: splitting on would not help.
         open_ = (F.col("n") > limit) & (F.col("parent").isNull() | (F.col("n") <= F.col("parent") / 2))
-        small = rows.where(~open_).select("key", "id", "n")
+        small = rows.where(~open_).select("key", "id", "n", room)
         done = small if done is None else done.unionByName(small)
         large = rows.where(open_)
         if large.isEmpty():
@@ -122,7 +128,7 @@ def _paths(signed: DataFrame, runs: int, threshold: float, limit: int) -> DataFr
         second = F.pmod(F.xxhash64("key", F.lit("more")), F.lit(1000)) < round(1000 * (1 / threshold - 1))
         children = F.array_compact(F.array(child("one"), F.when(second, child("two"))))
         rows = large.join(signed.select("id", "path"), "id").select(
-            "id", F.explode(F.array_distinct(children)).alias("key"), F.col("n").alias("parent")
+            "id", "size", F.explode(F.array_distinct(children)).alias("key"), F.col("n").alias("parent")
         )
 
 
@@ -214,18 +220,22 @@ def class_links(
     signed: DataFrame, grams_of: Callable[[DataFrame], DataFrame], threshold: float = 0.8,
     *, recall: float = 0.999, limit: int = 256, runs: int = 8,
 ) -> DataFrame:
-    """Links between classes, as ``tally`` gives them; ``signed``: id, copies, path, sketch.
+    """Links between classes, as ``tally`` gives them; ``signed``: id, copies, path, sketch, size (shingles).
 
     Pairs that their distances from a common leader show to be linked are counted without meeting.
     Any other pair is handled in the first of the buckets that both members share.  Pairs first meet as
     sketches; shingles are made, by ``grams_of``, only for ids that have a candidate, and travel
-    only to the cells where they have one.
+    only to the cells where they have one.  Runs that are added join the buckets of those before, and
+    the leaders stay.
     """
+    buckets, known, done = None, None, 0
     while True:
-        buckets = written(_paths(signed, runs, threshold, limit).distinct(), "jaccard-buckets")
+        more = written(_paths(signed, range(done, runs), threshold, limit).distinct(), "jaccard-buckets")
+        buckets, done = more if buckets is None else buckets.unionByName(more), runs
         lists = buckets.groupBy("id").agg(F.collect_set("key").alias("buckets"))
         held = written(signed.select("id", "copies", "sketch").join(lists, "id"), "jaccard-held")
-        known = spots(buckets.join(held.select("id", "copies"), "id"), _steps(threshold, grams_of), limit)
+        if known is None:
+            known = spots(buckets.join(held.select("id", "copies"), "id"), _steps(threshold, grams_of), limit)
         cells = tiles(buckets.join(held, "id"), known, limit)
         need = written(cells.mapInArrow(_needed(threshold), cells.schema), "jaccard-need")
         sets = written(grams_of(need.select("id").distinct()), "jaccard-sets")
@@ -253,7 +263,7 @@ def similar_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, **se
     """
     base = without(docs, *RESULT, "grams", "id", "row_", "words_")
     marked = written(base.withColumn("row_", F.monotonically_increasing_id()), "jaccard-docs")
-    kind = "row_ bigint, id string, path array<int>, sketch array<bigint>"
+    kind = "row_ bigint, id string, path array<int>, sketch array<bigint>, size int"
     # Shingles go straight into sketches: they would fill more disk than the texts.
     grams = with_shingles(marked.select("row_", "text"), width).select("row_", "grams")
     named = written(grams.mapInArrow(_sketches, kind), "jaccard-named")
@@ -261,7 +271,7 @@ def similar_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, **se
     signed = written(
         named.groupBy("id").agg(
             F.count(F.lit(1)).alias("copies"), F.min("row_").alias("row_"),
-            F.any_value("path").alias("path"), F.any_value("sketch").alias("sketch"),
+            *[F.any_value(c).alias(c) for c in ("path", "sketch", "size")],
         ),
         "jaccard-signed",
     )

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.llm import grouping
+from quadrat.llm import grouping, jaccard
 from quadrat.llm.grouping import spots, sure_links, tiles
 from quadrat.llm.jaccard import similar_groups
 from quadrat.llm.vectors import near_duplicates
@@ -135,3 +135,30 @@ def test_groups_without_large_buckets(spark):
         (1, 1, 1), (2, 1, 1), (3, 0, 3),
     }
     assert math.isclose(grouping.STEPS % grouping.BAND, 0)
+
+
+def test_a_bucket_within_its_room_is_one_cell(spark):
+    """Members of a leader too far from it to be linked for sure: a row each, not one per pair of tiles."""
+    n = 1500
+    rows, _ = _group(spark, n)
+    found = spots(rows, lambda pairs: pairs.select("id", (101 + F.col("id") % 90).cast("int").alias("q")))
+    made = tiles(rows.withColumn("room", F.lit(2048)), found)
+    assert made.count() == n and made.select("low", "high").distinct().count() == 1
+    # Less room than members: cells of two tiles at most, more copies of a row.
+    sizes = [r["count"] for r in tiles(rows.withColumn("room", F.lit(300)), found).groupBy("low", "high").count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * 300 * 1.3
+
+
+def test_added_runs_join_the_buckets_of_those_before(spark):
+    draw = np.random.default_rng(9)
+    signed = spark.createDataFrame(
+        [(str(i), 10, [int(x) for x in draw.integers(0, 4, jaccard.COORDINATES)]) for i in range(300)],
+        "id string, size int, path array<int>",
+    )
+
+    def rows(runs):
+        return {tuple(r) for r in jaccard._paths(signed, runs, 0.8, 32).distinct().collect()}
+
+    whole = rows(range(6))
+    assert whole and whole == rows(range(4)) | rows(range(4, 6))
+    assert {r[3] for r in whole} == {jaccard.TILE}
