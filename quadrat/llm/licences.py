@@ -6,16 +6,18 @@ marks count as blank, and comment marks are no words.  Of hits of one family tha
 one with the fewest lines counts, the first of these if several.  A multinomial logistic
 regression over hashed word 1- to 3-grams (presence, not counts) names the licence family, with a
 class of its own for all other text.  It learns from the templates, whole, cut to their windows
-and set between ordinary words, and from a bounded sample of ordinary paragraphs.  The threshold on
-the probability is calibrated on ordinary paragraphs that it has not seen: it is passed by at most
-the stated share of them.  A prediction stands if, further, enough of a template of that family is
+and set after ordinary words, and from the ordinary paragraphs of all texts that it can meet: the
+distinct ones that are not set aside before it (see below) and hold less than half of every template.
+One half of these teaches, with a bounded weight together; the threshold on the probability is
+calibrated on the other half, which it has not seen: at most the stated share of them, counted as
+often as they occur, passes it.  A prediction stands if, further, enough of a template of that family is
 found in the paragraph.  Paragraphs in which the comparison cannot find that much, because they
 hold none of a few words without which no template reaches it, are set aside before; the result is
 the same.
 
 Defined results: a null, empty or licence-free text has no families, no hits and score 0.
 Ties between families go to the first by name.  Repeated rows are scanned alike.  Without any
-ordinary paragraph the threshold is a half.  Other columns pass through; input columns named
+such ordinary paragraph the threshold is a half.  Other columns pass through; input columns named
 like a result column are replaced.  All of the main path is DataFrame code.
 """
 
@@ -202,44 +204,54 @@ def _features(buckets: int) -> HashingTF:
 
 
 def train(
-    docs: DataFrame, *, buckets: int = 1 << 12, most_texts: int = 400, longest: int = 20_000,
-    most_ordinary: int = 2000, false_share: float = 1e-3,
+    docs: DataFrame, *, buckets: int = 1 << 12, false_share: float = 1e-3, least: float = 0.6,
+    most_ordinary: float = 2000.0, around: float = 20.0,
 ) -> tuple[LogisticRegressionModel, float, int]:
-    """Model, threshold and buckets; learns from at most 2 x ``most_ordinary`` paragraphs.
+    """Model, threshold and buckets; learns from every paragraph of ``docs`` that ``scan`` with ``least`` classifies.
 
-    These come from at most ``most_texts`` texts of at most ``longest`` characters.
+    A row made of a template weighs 1, a distinct ordinary paragraph 1 or less, so that all together
+    weigh ``most_ordinary`` at most.  Each of these is also set before one of the templates, dealt by
+    its hash; a template with what is set before it weighs ``around`` at most.
     """
     spark = docs.sparkSession
-    # The sample is paragraphs, by hash, of the texts with the smallest hashes.
-    texts = docs.where(F.length("text") <= longest).select("text", F.xxhash64("text").alias("key"))
-    texts = written(texts.orderBy("key").limit(most_texts), "licences-texts")
-    plain = paragraphs(texts, "key")
-    plain = plain.withColumn("h", F.xxhash64("key", "place", F.lit("paragraph"))).orderBy("h").limit(2 * most_ordinary)
-    plain = written(plain.select("h", "words"), "licences-plain")
+    texts = docs.where(possible_text(F.col("text"), least)).select("text")
+    plain = paragraphs(texts, least=least).groupBy("words").agg(F.count(F.lit(1)).alias("times"))
+    plain = written(plain.withColumn("h", F.xxhash64("words", F.lit("paragraph"))), "licences-plain")
     held = F.greatest(*[found_share("words", F.lit(n)) for n in range(1, len(FAMILIES))])
-    licensed = plain.where(possible("words", 0.5)).where(held >= 0.5).select("h")
-    plain = written(plain.join(licensed, "h", "left_anti"), "licences-plain")
-    learn = plain.where(F.pmod("h", F.lit(2)) == 0).select(F.lit(0.0).alias("label"), "words")
-    whole = _templates(spark).select("label", "words")
+    plain = written(plain.where(held < 0.5), "licences-plain")
+    learn = plain.where(F.pmod("h", F.lit(2)) == 0)
+    share = F.least(F.lit(1.0), F.lit(most_ordinary) / F.lit(max(learn.count(), 1)))
+    whole = _templates(spark).select("label", "words", F.row_number().over(W.orderBy("label", "words")).alias("place"))
+    whole = whole.withColumn("weight", F.lit(1.0))
+    count = sum(len(texts) for texts in TEMPLATES.values())
+    dealt = (F.pmod(F.shiftright("h", 1), F.lit(count)) + 1).cast("int").alias("place")
+    noise = learn.select(F.slice("words", 1, 6).alias("noise"), dealt)
+    shares = noise.groupBy("place").agg(F.least(F.lit(1.0), F.lit(around) / F.count(F.lit(1))).alias("weight"))
+    mixed = noise.join(F.broadcast(whole.drop("weight").join(shares, "place")), "place").select(
+        "label", F.concat("noise", "words").alias("words"), "weight"
+    )
     # Windows over a template that keep two thirds of it stand for cut and reworded notices.
     size = F.greatest(F.ceil(F.size("words") * 2 / 3).cast("int"), F.lit(3))
     windows = whole.select(
-        "label", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))).alias("at"),
+        "label", "words", "weight", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))).alias("at"),
         size.alias("size"),
-    ).select("label", F.slice("words", F.col("at"), F.col("size")).alias("words"))
-    around = learn.select(F.slice("words", 1, 6).alias("noise")).limit(20)
-    mixed = whole.join(F.broadcast(around.withColumn("one", F.lit(1))), F.col("one") == F.when(F.size("words") > 0, 1))
-    mixed = mixed.select("label", F.concat(F.col("noise"), F.col("words")).alias("words"))
-    rows = learn.unionByName(whole).unionByName(windows).unionByName(mixed)
+    ).select("label", F.slice("words", F.col("at"), F.col("size")).alias("words"), "weight")
+    rows = learn.select(F.lit(0.0).alias("label"), "words", share.alias("weight"))
+    rows = rows.unionByName(whole.drop("place")).unionByName(windows).unionByName(mixed)
     hashed = _features(buckets)
     model = LogisticRegression(
-        family="multinomial", regParam=1e-3, elasticNetParam=0.0, maxIter=60, standardization=False,
-    ).fit(written(hashed.transform(rows.withColumn("grams", grams("words"))).select("label", "features"), "licences-train"))
+        family="multinomial", regParam=1e-3, elasticNetParam=0.0, maxIter=60, standardization=False, weightCol="weight",
+    ).fit(written(
+        hashed.transform(rows.withColumn("grams", grams("words"))).select("label", "features", "weight"), "licences-train"
+    ))
     unseen = plain.where(F.pmod("h", F.lit(2)) != 0).withColumn("grams", grams("words"))
     other = vector_to_array("probability")[0]
-    scored = model.transform(hashed.transform(unseen)).select((1 - other).alias("p"))
-    threshold = scored.agg(F.percentile("p", 1 - false_share).alias("t")).first()["t"]
-    return model, max(0.5, threshold or 0.5), buckets
+    scored = model.transform(hashed.transform(unseen)).select(
+        F.greatest(1 - other, F.lit(0.5)).alias("p"), "times"
+    )
+    # Nothing below a half can be the threshold, so only values above it are told apart.
+    threshold = scored.agg(F.percentile("p", 1 - false_share, F.col("times")).alias("t")).first()["t"]
+    return model, threshold or 0.5, buckets
 
 
 def scan(docs: DataFrame, model: LogisticRegressionModel, threshold: float, buckets: int, least: float = 0.6) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quadrat.llm import chat, jaccard, licences, mixing, neighbours, packing, queries, toxicity, vectors, warc
 from quadrat.llm.grouping import components
+from quadrat.session import noting
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -347,3 +348,19 @@ def test_toxicity_learns_planted_words(spark):
     held = [i for i in range(0, 300, 5)]
     assert sum(got[i]["is_toxic"] == int(i % 3 == 0) for i in held) >= 0.95 * len(held)
     assert got[902]["is_toxic"] == 1 and got[900]["is_toxic"] == got[901]["is_toxic"] == 0
+
+
+def test_licence_classifier_learns_every_ordinary_paragraph_it_can_meet(spark):
+    # More texts than a sample would hold, and the telling ones longer than it would take.
+    near = "how to redistribute leaflets, and modify their terms of printing. "
+    docs = [(i, f"{near}number{i} was {'licensed' if i % 2 else 'released'} under protest. " * 400, "en", "s", 0) for i in range(40)]
+    docs += [(1000, "Released under the MIT License.", "en", "s", 0)]
+    frame = spark.createDataFrame(docs, DOCS)
+    with noting() as paths:
+        found = licences.train(frame)
+    learned = spark.read.parquet([p for p in paths if "licences-plain" in p][-1])
+    words = {w for r in learned.collect() for w in r["words"]}
+    assert {f"number{i}" for i in range(40)} <= words
+    assert learned.agg(F.sum("times")).first()[0] >= 40 * 400
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(frame, *found).collect()}
+    assert got == {i: [] for i in range(40)} | {1000: ["mit"]}
