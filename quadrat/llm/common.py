@@ -81,6 +81,8 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 16 << 20):
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    # A Python worker outlives its tasks: what the runs before took goes back to the machine.
+    pa.default_memory_pool().release_unused()
 
 
 _copies: dict[str, object] = {}
