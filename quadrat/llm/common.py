@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -96,6 +97,13 @@ def worker_copy(key: str, make: Callable[[], object]):
     return _copies[key]
 
 
+def drop_copies() -> None:
+    """For tasks that need no copy: what the steps before kept in this worker goes back to the machine."""
+    _copies.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary.
 

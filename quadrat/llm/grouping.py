@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import written
+from quadrat.llm.common import drop_copies, written
 
 
 STEPS = 200
@@ -82,16 +82,18 @@ def sure_links(found: DataFrame) -> DataFrame:
     ])
 
 
-def tiles(rows: DataFrame, found: DataFrame, tile: int = 256) -> DataFrame:
+def tiles(rows: DataFrame, found: DataFrame | None, tile: int = 256) -> DataFrame:
     """``rows`` (key, id, n: rows with this key, copies, ...) dealt so that pairs of one key meet.
 
     A key with more than ``tile`` rows (more than its ``room``, if ``rows`` have that column) is cut into
     bands by the steps from its leader, and bands into tiles by a hash of the id.  Every pair of tiles is a cell (key, low, high), but for
     tiles whose members are all linked for sure.  No cell holds more than about two tiles; pairs
     within a tile meet in the cell low = high, others only across ``mine``.  Partitions hold
-    whole cells, in order, for ``chunks``.  Adds ``leader`` and ``q`` (null without a leader).
+    whole cells, in order, for ``chunks``.  Adds ``leader`` and ``q`` (null without a leader) of
+    ``found``; None: ``rows`` have them.
     """
-    rows = rows.join(found.select("id", "leader", "q"), "id", "left")
+    if found is not None:
+        rows = rows.join(found.select("id", "leader", "q"), "id", "left")
     rows = rows.withColumn("room", F.col("room") if "room" in rows.columns else F.lit(tile))
     large = rows.where(F.col("n") > F.col("room"))
     small = rows.where(F.col("n") <= F.col("room")).drop("n", "room").select(
@@ -177,6 +179,8 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
             held = held.slice(end)
     if held is not None and held.num_rows:
         yield made(held, cells(held))
+    del held
+    drop_copies()
 
 
 def meetings(cell: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import without, written
+from quadrat.llm.common import drop_copies, without, written
 from quadrat.llm.grouping import (
     FOUND, STEPS, beside, chunks, components, meetings, spots, sure_links, tally, tiles, together, unsure,
 )
@@ -66,6 +66,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = COORDINATES + 64 * SKETCH_WORDS
     mask = draw.integers(0, 1 << 63, total, dtype=np.uint64)
     odd = draw.integers(0, 1 << 63, total, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    drop_copies()
     for whole in batches:
         whole = whole.filter(pc.greater(pc.list_value_length(whole.column("grams")), 0))
         for start in range(0, whole.num_rows, 512):
@@ -93,6 +94,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["row_", "id", "path", "sketch", "size"],
             )
+    pa.default_memory_pool().release_unused()
 
 
 def _key(run: Column, *parts: Column) -> Column:
@@ -119,16 +121,23 @@ def _paths(signed: DataFrame, runs: range, threshold: float, limit: int) -> Data
         if large.isEmpty():
             return done
 
-        def child(salt: str) -> Column:
-            pick = F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(COORDINATES)).cast("int")
-            run = F.col("key").bitwiseAND(F.lit((1 << RUN_BITS) - 1).cast("long"))
-            return _key(run, F.col("key"), pick, F.get("path", pick))
+        def child(node: Column, salt: str) -> Column:
+            key = node["key"]
+            pick = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(COORDINATES)).cast("int")
+            run = key.bitwiseAND(F.lit((1 << RUN_BITS) - 1).cast("long"))
+            return F.struct(_key(run, key, pick, F.get("path", pick)).alias("key"), node["n"].alias("parent"))
 
-        # A node samples one token, and a second one so often that 1 / threshold is the mean.
-        second = F.pmod(F.xxhash64("key", F.lit("more")), F.lit(1000)) < round(1000 * (1 / threshold - 1))
-        children = F.array_compact(F.array(child("one"), F.when(second, child("two"))))
-        rows = large.join(signed.select("id", "path"), "id").select(
-            "id", "size", F.explode(F.array_distinct(children)).alias("key"), F.col("n").alias("parent")
+        def children(node: Column) -> Column:
+            # A node samples one token, and a second one so often that 1 / threshold is the mean.
+            second = F.pmod(F.xxhash64(node["key"], F.lit("more")), F.lit(1000)) < round(1000 * (1 / threshold - 1))
+            return F.array_compact(F.array(child(node, "one"), F.when(second, child(node, "two"))))
+
+        # A class meets its path once, with its buckets of all runs.
+        nodes = large.groupBy("id").agg(
+            F.any_value("size").alias("size"), F.collect_list(F.struct("key", "n")).alias("nodes")
+        )
+        rows = nodes.join(signed.select("id", "path"), "id").select(
+            "id", "size", F.inline(F.array_distinct(F.flatten(F.transform("nodes", children))))
         )
 
 
@@ -226,17 +235,20 @@ def class_links(
     Any other pair is handled in the first of the buckets that both members share.  Pairs first meet as
     sketches; shingles are made, by ``grams_of``, only for ids that have a candidate, and travel
     only to the cells where they have one.  Runs that are added join the buckets of those before, and
-    the leaders stay.
+    the leaders stay.  A class is one row with the list of its buckets until it is dealt to them, so
+    that joins have a row per class, however many runs and buckets there are.
     """
     buckets, known, done = None, None, 0
     while True:
         more = written(_paths(signed, range(done, runs), threshold, limit).distinct(), "jaccard-buckets")
         buckets, done = more if buckets is None else buckets.unionByName(more), runs
-        lists = buckets.groupBy("id").agg(F.collect_set("key").alias("buckets"))
+        lists = buckets.groupBy("id").agg(F.collect_list(F.struct("key", "n", "room")).alias("places"))
         held = written(signed.select("id", "copies", "sketch").join(lists, "id"), "jaccard-held")
         if known is None:
-            known = spots(buckets.join(held.select("id", "copies"), "id"), _steps(threshold, grams_of), limit)
-        cells = tiles(buckets.join(held, "id"), known, limit)
+            large = F.filter("places", lambda place: place["n"] > limit)
+            known = spots(held.select("id", "copies", F.inline(large)), _steps(threshold, grams_of), limit)
+        placed = held.withColumn("buckets", F.col("places.key")).join(known.select("id", "leader", "q"), "id", "left")
+        cells = tiles(placed.select("*", F.inline("places")).drop("places"), None, limit)
         need = written(cells.mapInArrow(_needed(threshold), cells.schema), "jaccard-need")
         sets = written(grams_of(need.select("id").distinct()), "jaccard-sets")
         links = written(

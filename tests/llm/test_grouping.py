@@ -162,3 +162,28 @@ def test_added_runs_join_the_buckets_of_those_before(spark):
     whole = rows(range(6))
     assert whole and whole == rows(range(4)) | rows(range(4, 6))
     assert {r[3] for r in whole} == {jaccard.TILE}
+
+
+def test_a_class_meets_its_path_once_however_many_runs_hold_it(spark, monkeypatch):
+    """Joins by id have a row per class, not one per class, run and bucket."""
+    draw = np.random.default_rng(11)
+    alike = draw.integers(0, 1 << 30, 64)
+    paths = []
+    for _ in range(200):
+        path = alike.copy()
+        path[draw.integers(0, 64, 4)] = draw.integers(0, 1 << 30, 4)
+        paths.append([int(x) for x in path])
+    rows = [(f"c{i}", 40, p) for i, p in enumerate(paths)]
+    signed = spark.createDataFrame(rows, "id string, size int, path array<int>")
+    joined = []
+    kind = type(signed)
+    plain = kind.join
+
+    def join(left, right, on=None, *rest):
+        if on == "id":
+            joined.append(left.count())
+        return plain(left, right, on, *rest)
+
+    monkeypatch.setattr(kind, "join", join)
+    assert jaccard._paths(signed, range(8), 0.8, 32).distinct().count() > 200
+    assert joined and max(joined) <= 200
