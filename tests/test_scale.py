@@ -113,3 +113,30 @@ def test_prepared_rows_keep_what_every_table_needs(spark):
     data = inference.prepare(star.study(spark, str(FOLDER)))
     assert {"num_plants", "color1", "inf_type", "front_back"} <= set(data.rows.columns)
     assert data.rows.count() == floral.clean_rows(star.floral(spark, str(FOLDER))).count()
+
+
+def test_houses_gather_only_the_traits_that_are_compared(spark):
+    rows = spark.createDataFrame(
+        [("n", "b", "h", "fam", "g1", "red", "", "x", "y", "z"), ("n", "b", "h", "fam", "g2", "red", None, "x", "y", "z"),
+         (None, "b", "i", "fam", "g1", "blue", "", None, "y", "z")],
+        "nb string, block string, house_id string, family string, genus string, color1 string, color2 string, "
+        "inf_type string, symmetry string, flowertype string",
+    )
+    both = ("color_num", "genera_num")
+    some = floral.house_traits(rows, *both)
+    keys = ["nb", "block", "house_id", *both]
+    assert some.columns == keys
+    assert sorted(map(str, some.collect())) == sorted(map(str, floral.house_traits(rows).select(keys).collect()))
+
+
+def test_direct_houses_do_not_move_unused_traits(spark):
+    text = plan(queries()["direct_house"](spark, str(FOLDER)))
+    schemas = [part.split(">")[0] for part in text.split("ReadSchema: struct<")[1:]]
+    assert any("color1" in s for s in schemas)
+    assert not any("flowertype" in s for s in schemas)
+
+
+def test_line_items_do_not_carry_the_balance_of_their_house(spark):
+    rows = star.floral(spark, str(FOLDER)).select("nb", "house_id", "genus")
+    steps = [step for step in plan(rows).splitlines() if "Project [" in step and "l_partkey" in step]
+    assert steps and not any("c_acctbal" in step for step in steps)
